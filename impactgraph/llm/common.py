@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -34,8 +37,22 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python workers can import it."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if spark.sparkContext.applicationId not in _SHIPPED and os.path.isdir(f"{here}/impactgraph"):
+        _SHIPPED.add(spark.sparkContext.applicationId)
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="impactgraph-"))  # the driver serves the archive from here
+        shutil.copytree(f"{here}/impactgraph", f"{folder}/copy/impactgraph", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/impactgraph", "zip", f"{folder}/copy"))
+
+
+_SHIPPED: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that reach Python by bytes, so that very long texts cannot fill a worker."""
+    """Readies Python workers: the package is there, and Arrow batches are bounded by bytes, whatever the texts' lengths."""
+    ship(spark)
     spark.conf.set(ARROW_BYTES, str(8 << 20))
     spark.conf.set(ARROW_ROWS, "4096")
 
