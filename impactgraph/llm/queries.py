@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, packing, sharding, wavelet
+from . import dedup, minhash, packing, sharding, wavelet
 
-QUERIES = {"op1_sharding": sharding.op1_sharding, "op2_wavelet": wavelet.op2_wavelet, "op3_exact_dedup": dedup.op3_exact_dedup, "op10_packing": packing.op10_packing}
-ORACLES = {"op3_exact_dedup": dedup.ORACLE}
+QUERIES = {"op1_sharding": sharding.op1_sharding, "op2_wavelet": wavelet.op2_wavelet, "op3_exact_dedup": dedup.op3_exact_dedup, "op9_minhash": minhash.op9_minhash, "op10_packing": packing.op10_packing}
+ORACLES = {"op3_exact_dedup": dedup.ORACLE, "op9_minhash": minhash.ORACLE}
