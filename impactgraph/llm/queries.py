@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, minhash, packing, sharding, substring, wavelet
+from . import dedup, minhash, packing, sharding, substring, toxicity, wavelet
 
-QUERIES = {"op1_sharding": sharding.op1_sharding, "op2_wavelet": wavelet.op2_wavelet, "op3_exact_dedup": dedup.op3_exact_dedup, "op4_substring_dedup": substring.op4_substring_dedup, "op9_minhash": minhash.op9_minhash, "op10_packing": packing.op10_packing}
+QUERIES = {"op1_sharding": sharding.op1_sharding, "op2_wavelet": wavelet.op2_wavelet, "op3_exact_dedup": dedup.op3_exact_dedup, "op4_substring_dedup": substring.op4_substring_dedup, "op8_toxicity": toxicity.op8_toxicity, "op9_minhash": minhash.op9_minhash, "op10_packing": packing.op10_packing}
 ORACLES = {"op3_exact_dedup": dedup.ORACLE, "op4_substring_dedup": substring.ORACLE, "op9_minhash": minhash.ORACLE}

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import documents, small_batches, staged
 
-OUT = ("size", "law", "shard", "grown_shard", "bucket", "pos", "order_hash", "slot")
+OUT = ("size", "law", "shard", "grown_shard", "bucket", "pos", "order_hash", "slot", "text_crc32")
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text
     """Writes df as shuffled shard files in the shared folder and returns them as a table read back from those files.
 
     Added columns: size (UTF-8 bytes of the text, none for null, plus 16), law, shard, grown_shard (with one more shard),
-    bucket and slot (the record's place in its shard, gapless from 0). Null keys count as a key of their own; repeated rows are
+    bucket, text_crc32 (of the text as the file has it) and slot (the record's place in its shard, gapless from 0). Null keys count as a key of their own; repeated rows are
     separate records. Rows that are equal in all columns share a bucket; one that outgrows four times bucket_bytes is shuffled in runs of that
     size, so memory stays bounded. Input columns that bear an output's name are replaced. An empty table gives no rows.
     """
@@ -97,11 +97,12 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text
     hashed = F.xxhash64(F.lit(seed), F.col(key))
     scattered = df.withColumns({"shard": jumps(shards)(hashed), "grown_shard": jumps(shards + 1)(hashed), "order_hash": F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in plain])})
     scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "order_hash"), F.lit(per_shard)).cast("long"))
-    scattered = scattered.repartition(int(shards * per_shard), "shard", "bucket").sortWithinPartitions("shard", "bucket", "order_hash", key).drop("order_hash")
+    scattered = scattered.repartitionById(int(shards * per_shard), (F.col("shard") * per_shard + F.col("bucket")).cast("int")).sortWithinPartitions("shard", "bucket", "order_hash", key).drop("order_hash")
     out = T.StructType([*scattered.schema.fields, T.StructField("pos", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     written = staged(scattered.mapInArrow(_shuffled(to_arrow_schema(out), seed, 4 * bucket_bytes), out), "shards")
+    written = written.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     written = written.join(counts.select("shard", "bucket", before.alias("before")), ["shard", "bucket"])
@@ -110,4 +111,4 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text
 
 def op1_sharding(spark, sf_dir):
     out = shard(documents(spark, sf_dir), 40)
-    return out.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
