@@ -24,6 +24,11 @@ OUT = ("score", "predicted", "evidence")
 EVIDENCE = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 
+def terms_of(word: str) -> list[str]:
+    """A word's terms: itself and its leading 4, 5 and 6 letters, as insults are inflected and compounded."""
+    return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) > n)]
+
+
 def remainder(id_col: str, m: int):
     """crc32 of the id as text, modulo m."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m
@@ -70,16 +75,17 @@ class BlockMaxIndex:
 class Model:
     """Examples, vocabulary, index and calibration; small, and the same on every executor."""
 
-    def __init__(self, rows: list[tuple[int, str | None, int]], rates: tuple[float, float], k: int = 15, share: float = 0.08, z: float = 5.0):
+    def __init__(self, rows: list[tuple[int, str | None, int]], rates: tuple[float, float], k: int = 15, share: float = 0.02, z: float = 5.0):
         """rows: (doc_id, text, label); rates: of all labelled rows, the share kept in the sample by label, to undo its balance."""
         rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
         self.k, self.ids, self.labels = k, [r[0] for r in rows], np.array([r[2] for r in rows], dtype=float)
-        counts = [Counter(WORD.findall((t or "").lower())) for _, t, _ in rows]
-        self.vocabulary = self._choose(rows, counts, share, z)
+        words = [Counter(WORD.findall((t or "").lower())) for _, t, _ in rows]
+        self.vocabulary, self.known = self._choose(rows, words, share, z), {}
+        counts = [self._terms(w) for w in words]
         self.idf = np.zeros(len(self.vocabulary))
         for c in counts:
-            for w in c.keys() & self.vocabulary.keys():
-                self.idf[self.vocabulary[w]] += 1
+            for t in c:
+                self.idf[t] += 1
         self.idf = np.log((1 + len(rows)) / (1 + self.idf)) + 1
         vectors = [self._vector(c) for c in counts]
         self.index = BlockMaxIndex(vectors, len(self.vocabulary))
@@ -92,7 +98,7 @@ class Model:
 
     @staticmethod
     def _choose(rows, counts, share: float, z: float) -> dict[str, int]:
-        """Terms that tell the labels apart: z standard errors between the classes' rates, in groups of near copies counted once."""
+        """Terms of label 1: at least z standard errors and 20 times as frequent there, with near copies counted once."""
         group, seen = [], {}
         for _, t, y in rows:
             marks = [(int(h), y) for h in shingle_set(t)[:8]]
@@ -103,20 +109,34 @@ class Model:
         holds, size = defaultdict(lambda: [set(), set()]), [set(), set()]
         for (_, _, y), c, g in zip(rows, counts, group, strict=True):
             size[y].add(g)
-            for w in c:
-                holds[w][y].add(g)
+            for term in {x for w in c for x in terms_of(w)}:
+                holds[term][y].add(g)
         n0, n1 = max(1, len(size[0])), max(1, len(size[1]))
         chosen = []
         for w, (a, b) in holds.items():
             p0, p1 = len(a) / n0, len(b) / n1
             p = (len(a) + len(b)) / (n0 + n1)
             error = (p * (1 - p) * (1 / n0 + 1 / n1)) ** 0.5
-            if p1 >= share and error > 0 and (p1 - p0) / error >= z:
+            if p1 >= share and p0 <= p1 / 20 and error > 0 and (p1 - p0) / error >= z:
                 chosen.append(w)
         return {w: i for i, w in enumerate(sorted(chosen))}
 
-    def _vector(self, counts: Counter) -> dict[int, float]:
-        v = {self.vocabulary[w]: (1 + np.log(counts[w])) * self.idf[self.vocabulary[w]] for w in counts.keys() & self.vocabulary.keys()}
+    def _terms(self, words: Counter) -> dict[int, int]:
+        """How often each term of the vocabulary occurs; a word's terms are looked up once."""
+        out: dict[int, int] = {}
+        known, vocabulary = self.known, self.vocabulary
+        if len(known) > 300_000:
+            known.clear()
+        for w, n in words.items():
+            own = known.get(w)
+            if own is None:
+                known[w] = own = tuple(vocabulary[t] for t in terms_of(w) if t in vocabulary)
+            for t in own:
+                out[t] = out.get(t, 0) + n
+        return out
+
+    def _vector(self, counts: dict[int, int]) -> dict[int, float]:
+        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = sum(x * x for x in v.values()) ** 0.5
         return {t: v[t] / norm for t in sorted(v)}
 
@@ -136,8 +156,11 @@ class Model:
             beta = beta + np.clip(step, -5, 5)
         return float(beta[0]), float(beta[1])
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
     def score(self, text: str | None, memo: dict) -> tuple[float, list]:
-        words = Counter(w for w in WORD.findall((text or "").lower()) if w in self.vocabulary)
+        words = self._terms(Counter(WORD.findall((text or "").lower())))
         key = tuple(sorted(words.items()))
         if key not in memo:
             found = self.index.search(self._vector(words), self.k)
