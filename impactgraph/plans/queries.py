@@ -1,4 +1,233 @@
-"""Registry of the graph engine's queries."""
+"""The graph engine's queries over the derived graph, and the SQL each is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as X
+from ..operators import closure, diff, resolve, walk
+from . import derived as D
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _ids(name: str) -> str:
+    return ", ".join(map(str, D.SEEDS[name]))
+
+
+for _name in D.SEEDS:
+
+    @query(f"impacted_{_name}", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhit AS (SELECT def_id FROM defs WHERE def_id IN ({_ids(_name)}) UNION SELECT r.dst FROM hit h JOIN rev r ON r.src = h.def_id)\nSELECT h.def_id, d.kind, d.name, f.path FROM hit h JOIN defs d USING (def_id) JOIN files f ON f.file_id = d.file_id")
+    def impacted(spark, sf_dir, name=_name):
+        g = D.derived(spark, sf_dir)
+        return walk.impact(g, D.seeds(spark, name)).join(g.defs, "def_id").join(g.files, "file_id").select("def_id", "kind", "name", "path")
+
+    @query(f"impact_depth_{_name}", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhop AS (SELECT def_id, 0 AS h FROM defs WHERE def_id IN ({_ids(_name)}) UNION SELECT r.dst, hop.h + 1 FROM hop JOIN rev r ON r.src = hop.def_id WHERE hop.h < 15)\nSELECT def_id, cast(min(h) AS integer) AS depth FROM hop GROUP BY def_id")
+    def impact_depth(spark, sf_dir, name=_name):
+        return walk.impact(D.derived(spark, sf_dir), D.seeds(spark, name)).select("def_id", "depth")
+
+
+@query("selected_tests", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhit AS (SELECT def_id FROM defs WHERE def_id IN ({_ids('widen')}) UNION SELECT r.dst FROM hit h JOIN rev r ON r.src = h.def_id)\nSELECT d.def_id, f.path AS file, d.name, f.lang, CASE f.lang WHEN 'ts' THEN 'vitest' WHEN 'go' THEN 'gotest' WHEN 'rust' THEN 'cargo' ELSE 'unknown' END AS runner FROM defs d JOIN files f ON f.file_id = d.file_id WHERE d.kind = 'TestCase' AND (d.def_id IN (SELECT def_id FROM hit) OR regexp_matches(f.path, '^src/NATION_1.*/.*$'))")
+def selected_tests(spark, sf_dir):
+    """Walk and always-run tests as one set, with their display columns."""
+    g = D.derived(spark, sf_dir)
+    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id")
+    always = tests.where(X.first_glob(F.col("path"), ["src/NATION_1*/*"]).isNotNull()).select("def_id")
+    chosen = walk.impacted_tests(g, D.seeds(spark, "widen")).union(always).distinct()
+    return tests.join(chosen, "def_id", "left_semi").select("def_id", F.col("path").alias("file"), "name", "lang", X.runner(F.col("lang")).alias("runner"))
+
+
+@query("why_paths")
+def why_paths(spark, sf_dir):
+    """Hop paths of the impacted tests that a query text matches; the text filter runs before any path is followed."""
+    g = D.derived(spark, sf_dir)
+    visited = walk.impact(g, D.seeds(spark, "small"))
+    match = F.concat_ws(" :: ", "path", "name").contains("test 1")
+    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id").where(match)
+    return walk.paths(visited, tests).select("def_id", F.size("path").alias("hops"), F.to_json("path").alias("path"))
+
+
+@query("why_candidates", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhit AS (SELECT def_id FROM defs WHERE def_id IN ({_ids('small')}) UNION SELECT r.dst FROM hit h JOIN rev r ON r.src = h.def_id)\nSELECT d.def_id, concat(f.path, ' :: ', d.name) AS match_str, CASE WHEN d.def_id IN (SELECT def_id FROM hit) THEN NULL WHEN regexp_matches(f.path, '^src/NATION_1.*/.*$') THEN 'src/NATION_1*/**' ELSE 'src/NATION_2*/**' END AS always_run_glob FROM defs d JOIN files f ON f.file_id = d.file_id WHERE d.kind = 'TestCase' AND contains(concat(f.path, ' :: ', d.name), '7') AND (d.def_id IN (SELECT def_id FROM hit) OR regexp_matches(f.path, '^src/NATION_[12].*/.*$'))")
+def why_candidates(spark, sf_dir):
+    """Tests by walk or by pattern; the walk explains first, patterns in declared order."""
+    g = D.derived(spark, sf_dir)
+    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id").withColumn("match_str", F.concat_ws(" :: ", "path", "name")).where(F.contains("match_str", F.lit("7")))
+    always = tests.select("def_id", X.first_glob(F.col("path"), ["src/NATION_1*/**", "src/NATION_2*/**"]).alias("glob")).where("glob IS NOT NULL")
+    reached = walk.impacted_tests(g, D.seeds(spark, "small")).withColumn("walked", F.lit(True))
+    both = reached.join(always, "def_id", "full").join(tests.select("def_id", "match_str"), "def_id")
+    return both.select("def_id", "match_str", F.when(F.col("walked").isNull(), F.col("glob")).alias("always_run_glob"))
+
+
+CLOSURE = f"WITH RECURSIVE {D.WITH},\nclosure AS (SELECT file_id AS root, file_id AS member FROM files UNION SELECT c.root, i.from_file FROM closure c JOIN imports i ON i.to_file = c.member)"
+
+
+@query("importer_closure", f"{CLOSURE}\nSELECT root, member FROM closure")
+def importer_closure(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    return closure.importer_closure(g.imports, g.files.select(F.col("file_id").alias("root")))
+
+
+@query("import_reachable", f"WITH RECURSIVE {D.WITH},\nreach AS (SELECT file_id AS from_file, file_id AS to_file FROM files WHERE file_id % 3 = 0 UNION SELECT r.from_file, i.to_file FROM reach r JOIN imports i ON i.from_file = r.to_file)\nSELECT from_file, to_file FROM reach")
+def import_reachable(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    edges = g.imports.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst"))
+    return closure.reachable_pairs(edges, g.files.where("file_id % 3 = 0").select(F.col("file_id").alias("root"))).select(F.col("root").alias("from_file"), F.col("member").alias("to_file"))
+
+
+REFS = "SELECT DISTINCT o_custkey % (SELECT count(*) FROM supplier) AS file_id, 2000000 + l_orderkey AS from_def, 'call' AS ref_kind, p_name AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+SCOPE = "scope AS (SELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports)"
+FOUND = f"refs AS ({REFS}),\n{SCOPE},\nfound AS (SELECT DISTINCT r.from_def, d.def_id AS to_def, r.name FROM refs r JOIN scope s USING (file_id) JOIN defs d ON d.file_id = s.target_file AND d.short_name = r.name WHERE d.kind <> 'ModuleInit' AND d.def_id <> r.from_def)"
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    g = D.derived(spark, sf_dir)
+    files = g.files.withColumn("lang", F.lit("ts"))
+    return resolve.resolve_refs(spark.sql(REFS), resolve.scopes(files, g.imports), g.defs)[0]
+
+
+@query("resolve_refs", f"WITH {D.WITH},\n{FOUND}\nSELECT DISTINCT from_def, to_def FROM found")
+def resolve_refs(spark, sf_dir):
+    return _resolved(spark, sf_dir).where("to_def IS NOT NULL").select("from_def", "to_def")
+
+
+@query("unknown_calls", f"WITH {D.WITH},\n{FOUND}\nSELECT DISTINCT from_def, name AS unknown_name FROM refs r WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.from_def = r.from_def AND f.name = r.name)")
+def unknown_calls(spark, sf_dir):
+    return _resolved(spark, sf_dir).where("unknown_name IS NOT NULL").select("from_def", "unknown_name")
+
+
+@query("go_scopes", f"WITH {D.WITH}\nSELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports UNION SELECT a.file_id, b.file_id FROM files a JOIN files b ON a.dir = b.dir WHERE a.lang = 'go' AND b.lang = 'go'")
+def go_scopes(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    return resolve.scopes(g.files, g.imports)
+
+
+TARGETS = """SELECT c_custkey % (SELECT count(*) FROM supplier) AS file_id, CASE c_custkey % 3 WHEN 0 THEN concat('src/', n_name) WHEN 1 THEN f.path ELSE concat('external/', c_mktsegment) END AS resolved
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN files f ON f.file_id = (c_custkey * 3) % (SELECT count(*) FROM supplier)"""
+
+
+@query("import_fanout", f"WITH {D.WITH},\nt AS ({TARGETS}),\nexact AS (SELECT t.file_id AS from_file, f.file_id AS to_file FROM t JOIN files f ON f.path = t.resolved),\nfan AS (SELECT t.file_id, f.file_id FROM t JOIN files f ON f.dir = t.resolved WHERE t.resolved NOT IN (SELECT path FROM files))\nSELECT from_file, to_file FROM (SELECT * FROM exact UNION SELECT * FROM fan) WHERE from_file <> to_file")
+def import_fanout(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    g.files.createOrReplaceTempView("files")
+    return resolve.resolve_imports(spark.sql(TARGETS), g.files)
+
+
+@query("importer_scan", "SELECT DISTINCT page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM pages) WHERE contains(raw, 'the') OR contains(raw, 'los')")
+def importer_scan(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("raw"))
+    changed = spark.createDataFrame([("the",), ("los",), ("de",)], "path string")
+    needles = changed.select(F.explode(X.needles(F.col("path"))).alias("needle")).distinct()
+    return diff.scan_importers(pages.withColumnRenamed("page_id", "file_id"), needles).withColumnRenamed("file_id", "page_id")
+
+
+VERSION = """SELECT cast(floor(l_orderkey / 2) AS bigint) AS file_id, 'Function' AS kind, l_returnflag, l_linestatus, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  cast(l_suppkey % 2 AS varchar(4)) AS sig_hash, CASE WHEN l_tax < 0.02 THEN NULL ELSE cast(l_partkey % 2 AS varchar(4)) END AS body_hash FROM lineitem WHERE l_orderkey % 2 = """
+DIFF_KEY, DIFF_ORDER = ["file_id", "l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY {', '.join(DIFF_KEY)} ORDER BY {', '.join(DIFF_ORDER)}) AS ordinal FROM"
+DIFFED = f"""WITH o AS ({NUMBERED} ({VERSION}0)), n AS ({NUMBERED} ({VERSION}1)),
+d AS (SELECT coalesce(o.file_id, n.file_id) AS file_id, coalesce(o.l_returnflag, n.l_returnflag) AS l_returnflag, coalesce(o.l_linestatus, n.l_linestatus) AS l_linestatus, coalesce(o.ordinal, n.ordinal) AS ordinal,
+  CASE WHEN o.file_id IS NULL THEN 'Added' WHEN n.file_id IS NULL THEN 'Removed' WHEN o.sig_hash <> n.sig_hash THEN 'SigChanged' WHEN o.body_hash IS DISTINCT FROM n.body_hash THEN 'BodyChanged' END AS change
+  FROM o FULL JOIN n ON o.file_id = n.file_id AND o.l_returnflag = n.l_returnflag AND o.l_linestatus = n.l_linestatus AND o.ordinal = n.ordinal)"""
+
+
+def _diffed(spark, sf_dir) -> DataFrame:
+    D.tables(spark, sf_dir, ("lineitem",))
+    return diff.diff_defs(spark.sql(VERSION + "0"), spark.sql(VERSION + "1"), DIFF_KEY, DIFF_ORDER)
+
+
+@query("def_diff", f"{DIFFED}\nSELECT * FROM d WHERE change IS NOT NULL")
+def def_diff(spark, sf_dir):
+    return _diffed(spark, sf_dir).select(*DIFF_KEY, "ordinal", "change")
+
+
+@query("seed_mapping", f"{DIFFED}\nSELECT DISTINCT file_id, CASE WHEN change IN ('Removed', 'ModuleInitChanged') THEN '<module>' ELSE concat(l_returnflag, l_linestatus) END AS def, CASE change WHEN 'BodyChanged' THEN 'body' WHEN 'SigChanged' THEN 'signature' WHEN 'Added' THEN 'added' ELSE 'module_init' END AS kind FROM d WHERE change IS NOT NULL")
+def seed_mapping(spark, sf_dir):
+    d = _diffed(spark, sf_dir).withColumn("kind", diff.seed_kind(F.col("change")))
+    return d.select("file_id", F.when(F.col("kind") == "module_init", X.MODULE).otherwise(F.concat("l_returnflag", "l_linestatus")).alias("def"), "kind").distinct()
+
+
+TOKENS = r"[a-z0-9]+|[^a-z0-9 \t\n\r]"
+
+
+@query("doc_fingerprint", f"SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '{TOKENS}'), ' ')) AS fingerprint FROM documents")
+def doc_fingerprint(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.sha2(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(TOKENS), 0), " "), 256).alias("fingerprint"))
+
+
+@query("duplicate_fingerprints", f"SELECT sha256(array_to_string(regexp_extract_all(lower(text), '{TOKENS}'), ' ')) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_fingerprints(spark, sf_dir):
+    return doc_fingerprint(spark, sf_dir).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query("snapshot_reuse", "SELECT doc_id, doc_id % 2 = 0 AS reused FROM documents")
+def snapshot_reuse(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_hash"))
+    return resolve.reuse(docs, docs.where("doc_id % 2 = 0")).select("doc_id", "reused")
+
+
+@query("reuse_counts", "SELECT count_if(doc_id % 2 = 0) AS reused, count_if(doc_id % 2 <> 0) AS parsed FROM documents")
+def reuse_counts(spark, sf_dir):
+    return snapshot_reuse(spark, sf_dir).agg(F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("parsed"))
+
+
+@query("graph_stats", f"WITH {D.WITH}\nSELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM defs) AS defs, (SELECT count(*) FROM defs WHERE kind = 'TestCase') AS tests, (SELECT count(*) FROM known_calls) + (SELECT count(*) FROM unknown_calls) AS calls, (SELECT count(*) FROM reads) AS reads, (SELECT count(*) FROM unknown_calls) AS unresolved, (SELECT count(*) FROM imports) AS imports, (SELECT count(*) FROM contains) AS contains")
+def graph_stats(spark, sf_dir):
+    from .commands import stats
+
+    return stats(D.derived(spark, sf_dir))
+
+
+@query("tests_by_file", f"WITH {D.WITH}\nSELECT f.path, count(*) AS tests FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase' GROUP BY f.path")
+def tests_by_file(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    return g.defs.where("kind = 'TestCase'").groupBy("file_id").agg(F.count("*").alias("tests")).join(g.files, "file_id").select("path", "tests")
+
+
+PATHS = ["package.json", "web/package.json", "tsconfig.json", "a/tsconfig.build.json", "tsconfig.js", "go.mod", "x/go.sum", ".env", "b/.env.local", "env", "Cargo.toml", "cargo.toml", "src/a.ts", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "package-lock.json", "tsconfig.json.bak"]
+
+
+@query("config_change", "SELECT path, regexp_matches(split_part(path, '/', -1), '^(package\\.json|package-lock\\.json|pnpm-lock\\.yaml|yarn\\.lock|go\\.mod|go\\.sum|Cargo\\.toml|Cargo\\.lock|tsconfig.*\\.json|\\.env.*)$') AS config FROM (SELECT unnest(" + repr(PATHS) + ") AS path)")
+def config_change(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", X.is_config_file(F.col("path")).alias("config"))
+
+
+GO_ESCAPE = r"regexp_replace({}, '([.^$*+?()\[\]{{}}|\\])', '\\\1', 'g')"
+QUOTE = r"CASE WHEN regexp_full_match({0}, '[A-Za-z0-9_./:=@^-]+') THEN {0} ELSE concat('''', replace({0}, '''', '''\'''''), '''') END"
+NAMED = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'rust' END AS lang, concat('src/', p_brand, '/', p_name, '_test') AS path, p_brand AS a, concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '$''x' ELSE '' END) AS b, p_partkey % 5 = 0 AS computed FROM part"
+
+
+@query("runner_lines", f"WITH t AS ({NAMED})\nSELECT DISTINCT CASE lang WHEN 'ts' THEN concat('vitest run ', {QUOTE.format('path')}, CASE WHEN computed THEN '' ELSE concat(' -t ', {QUOTE.format("concat(a, ' > ', b)")}) END) WHEN 'go' THEN concat('go test ', {QUOTE.format("concat('./src/', a)")}, ' -run ', {QUOTE.format("concat('^', " + GO_ESCAPE.format('a') + ", '$/^', " + GO_ESCAPE.format('b') + ", '$')")}) ELSE concat('cargo test ', {QUOTE.format("concat(a, '::', b)")}, CASE WHEN computed THEN '' ELSE ' -- --exact' END) END AS line FROM t")
+def runner_lines(spark, sf_dir):
+    D.tables(spark, sf_dir, ("part",))
+    t = spark.sql(NAMED.replace("'$''x'", '"$\'x"'))
+    return t.select(X.command_line(F.col("path"), F.array("a", "b"), F.col("lang"), F.col("computed")).alias("line")).distinct().orderBy("line")
+
+
+@query("short_names", "SELECT p_partkey, split_part(concat(p_brand, '.', p_name), '.', -1) AS short_name FROM part")
+def short_names(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.short_name(F.concat_ws(".", "p_brand", "p_name")).alias("short_name"))
+
+
+@query("path_functions", f"WITH {D.WITH}\nSELECT path, dir, split_part(path, '/', -1) AS base, regexp_replace(split_part(path, '/', -1), '\\.ts$', '') AS stem FROM files")
+def path_functions(spark, sf_dir):
+    p = F.col("path")
+    return D.derived(spark, sf_dir).files.select("path", X.parent_dir(p).alias("dir"), X.basename(p).alias("base"), X.stem(p).alias("stem"))
+
+
+@query("glob_filter", f"WITH {D.WITH}\nSELECT path FROM files WHERE regexp_matches(path, '^src/NATION_(1|2)[0-9]*/.*[02468]\\.ts$')")
+def glob_filter(spark, sf_dir):
+    f = D.derived(spark, sf_dir).files
+    return f.where(X.first_glob(F.col("path"), ["src/NATION_{1,2}*/*[02468].ts"]).isNotNull()).select("path")
