@@ -1,11 +1,25 @@
-"""The user's commands as compositions of operators."""
+"""The user's commands as compositions of operators: index, stats, changes, select, why."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import time
+from contextlib import nullcontext
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
+from ..operators import diff, resolve, walk
 from ..operators.graph import Graph
+from ..sources import repo as R
+from ..sources.lang import go as go_lang
+from ..sources.staging import staged
+
+VERSION = 1
+SHIFT = 20  # def_id = file_id << SHIFT | local_idx
+DEF_FIELDS = ("name", "kind", "start_line", "end_line", "test_id", "computed_name", "parent_idx", "sig_hash", "body_hash")
 
 
 def stats(graph: Graph) -> DataFrame:
@@ -21,3 +35,205 @@ def stats(graph: Graph) -> DataFrame:
     ):
         out = out.join(F.broadcast(part))  # single rows
     return out
+
+
+def snapshot_path(root: str) -> str:
+    return os.path.join(root, ".impactgraph", f"extractions-v{VERSION}")
+
+
+def load_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The last index's extractions; missing or unreadable means none."""
+    try:
+        df = spark.read.schema(R.EXTRACTION).parquet(snapshot_path(root))
+        df.limit(1).collect()
+        return df
+    except Exception:  # whatever its state, an unreadable snapshot is rebuilt
+        return None
+
+
+def save_snapshot(extracted: DataFrame, root: str) -> None:
+    extracted.coalesce(8).write.mode("overwrite").parquet(snapshot_path(root))
+
+
+@dataclass
+class Index:
+    graph: Graph
+    extracted: DataFrame
+    parsed: int
+    reused: int
+
+
+def build_index(spark: SparkSession, root: str, previous: DataFrame | None = None, ignore: tuple[str, ...] = ()) -> Index:
+    """Extracts files whose content the previous snapshot does not hold, and builds the graph anew."""
+    found, catalog = R.discover(root, ignore)
+    if not found:
+        extracted, parsed, reused = spark.createDataFrame([], R.EXTRACTION), 0, 0
+    elif previous is None:
+        extracted = staged(R.extractions(spark, [(os.path.join(root, p), p, lang, None) for p, lang in found]), "extractions")
+        parsed, reused = len(found), 0
+    else:
+        marked = staged(resolve.reuse(R.hashes(spark, root, found), previous), "hashes")
+        fresh = marked.where(~F.col("reused")).select("full", "path", "lang", F.lit(None).cast("binary").alias("source"))
+        kept = previous.join(marked.where("reused").select("path", "content_hash"), ["path", "content_hash"], "left_semi").select(*spark.createDataFrame([], R.EXTRACTION).columns)
+        extracted = staged(fresh.mapInPandas(R._extract_rows, R.EXTRACTION).unionByName(kept), "extractions")
+        reused = marked.where("reused").count()
+        parsed = len(found) - reused
+    bad = extracted.where("error IS NOT NULL").select("path", "error").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['error']}")
+    return Index(graph_of(spark, root, extracted, found, catalog), extracted, parsed, reused)
+
+
+def graph_of(spark: SparkSession, root: str, extracted: DataFrame, found: list[tuple[str, str]], catalog: set[str]) -> Graph:
+    """Files, definitions and edges of extractions; ids follow the sorted paths and the order in each file."""
+    ids = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(found)], "file_id long, path string")
+    files = extracted.join(ids, "path")
+    table = staged(files.select("file_id", "path", X.parent_dir(F.col("path")).alias("dir"), "lang", "content_hash"), "files")
+    defs = files.select("file_id", F.posexplode("defs").alias("local_idx", "d")).select("file_id", "local_idx", *[F.col(f"d.{f}").alias(f) for f in DEF_FIELDS])
+    defs = defs.withColumns({"def_id": F.shiftleft("file_id", SHIFT) + F.col("local_idx"), "short_name": X.short_name(F.col("name"))})
+    defs = staged(defs, "defs")
+    refs = files.select("file_id", F.explode("refs").alias("r")).select("file_id", (F.shiftleft("file_id", SHIFT) + F.col("r.from_idx")).alias("from_def"), "r.ref_kind", "r.name")
+    go_mod = os.path.join(root, "go.mod")
+    module = go_lang.module_prefix(open(go_mod, encoding="utf-8").read()) if os.path.exists(go_mod) else None
+    roots = sorted({p.rpartition("/")[0] for p in catalog if p.rpartition("/")[2] in ("lib.rs", "main.rs")})
+    names = spark.sparkContext.broadcast(catalog)  # the repository's paths, as the driver's walk listed them
+
+    @F.udf("array<string>")
+    def targets(path, lang, raws):
+        return R.import_targets(path, lang, raws, names.value, module, roots)
+
+    hit = files.select("file_id", F.explode(targets("path", "lang", F.col("imports.raw"))).alias("resolved"))
+    imports = staged(resolve.resolve_imports(hit, table), "imports")
+    calls, reads = resolve.resolve_refs(refs, resolve.scopes(table, imports), defs)
+    return Graph(table, defs, resolve.contains_edges(defs), imports, staged(calls, "calls"), staged(reads, "reads"))
+
+
+@dataclass
+class Analysis:
+    index: Index
+    config: R.Config
+    changed: int
+    seeds: DataFrame | None  # (def_id, kind); None means that every test has to run
+    reason: str = ""
+
+
+def classify(spark: SparkSession, repo: str, start: str, index: Index, changed: list[tuple[str, str, str | None]]) -> tuple[DataFrame | None, str]:
+    """Seeds of the changes, or None with the reason why every test has to run. Earlier changes give the reason first."""
+    graph, none = index.graph, spark.createDataFrame([], "def_id long, kind string")
+    if not changed:
+        return none, ""
+    listed = spark.createDataFrame([(i, *c) for i, c in enumerate(changed)], "ord int, path string, status string, old_path string")
+    config = listed.where(X.is_config_file(F.col("path")) | F.coalesce(X.is_config_file(F.col("old_path")), F.lit(False))).orderBy("ord").first()
+    if config is not None:
+        hit = config["path"]
+        return None, f"config file changed: {hit}"
+    modules = graph.defs.where("kind = 'ModuleInit'").select("file_id", "def_id")
+    needles, seeds, old_sources, new_paths = [], [none], [], []
+    known = {r["path"]: r["file_id"] for r in graph.files.join(listed.select("path").distinct(), "path", "left_semi").select("path", "file_id").collect()}  # changed paths only
+    for path, status, old in changed:
+        lang = R.language_of(path)
+        own = [n for n in dict.fromkeys([path.rpartition("/")[2], os.path.splitext(path.rpartition("/")[2])[0]]) if len(n) >= X.MIN_NEEDLE]
+        folder = path.rpartition("/")[0]
+        if status == "Deleted":
+            if lang == "go":
+                siblings = graph.files.where((F.col("dir") == folder) & (F.col("lang") == "go")).select("file_id")
+                seeds.append(modules.join(siblings, "file_id", "left_semi").select("def_id", F.lit("module_init").alias("kind")))
+                own += [n for n in [folder.rpartition("/")[2]] if len(n) >= X.MIN_NEEDLE and n not in own]
+            if lang and not own:
+                return None, f"deleted file cannot be traced: {path}"
+            needles += own
+        elif lang is None:
+            needles += own
+        elif path not in known:
+            return None, f"changed file is not in the index: {path}"
+        else:
+            try:
+                before = None if status == "Added" else R.show_file(repo, start, old or path)
+            except R.GitError as e:
+                return None, f"{path}: {e}"
+            new_paths.append((path, before is None))
+            if before is not None:
+                old_sources.append(("", path, lang, before))
+    added = [p for p, fresh in new_paths if fresh]
+    if added:
+        ids = spark.createDataFrame([(known[p],) for p in added], "file_id long")
+        seeds.append(graph.defs.where("kind IN ('TestCase', 'ModuleInit')").join(ids, "file_id", "left_semi").select("def_id", F.lit("added").alias("kind")))
+    if old_sources:
+        before = staged(R.extractions(spark, old_sources), "old")
+        bad = before.where("error IS NOT NULL").select("path", "error").first()
+        if bad is not None:
+            return None, f"{bad['path']}: {bad['error']}"
+        seeds.append(changed_seeds(spark, graph, before, {p: known[p] for _, p, _, _ in old_sources}))
+    if needles:
+        wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(needles)], "needle string")
+        raw = index.extracted.select("path", F.explode("imports.raw").alias("raw")).join(graph.files.select("path", "file_id"), "path")
+        seeds.append(modules.join(diff.scan_importers(raw, wanted), "file_id", "left_semi").select("def_id", F.lit("module_init").alias("kind")))
+    out = seeds[0]
+    for more in seeds[1:]:
+        out = out.unionByName(more)
+    return staged(out.dropDuplicates(["def_id", "kind"]), "seeds"), ""
+
+
+def changed_seeds(spark: SparkSession, graph: Graph, before: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """(def_id, kind) of files whose old and new definitions both are known."""
+    at = spark.createDataFrame([(p, i) for p, i in ids.items()], "path string, file_id long")
+    old = before.join(at, "path").select("file_id", F.posexplode("defs").alias("local_idx", "d")).select("file_id", "local_idx", *[F.col(f"d.{f}").alias(f) for f in DEF_FIELDS])
+    new = graph.defs.join(at.select("file_id"), "file_id", "left_semi")
+    keyed = lambda df: df.withColumns({"k": F.col("kind"), "chain": X.test_name(F.col("test_id"), F.col("name"))})
+    found = diff.diff_defs(keyed(old), keyed(new), ["file_id", "k", "chain"], ["local_idx"]).withColumn("kind", diff.seed_kind(F.col("change")))
+    idx = F.when(F.col("kind") == "module_init", F.lit(0)).otherwise(F.col("new_idx"))
+    return found.select((F.shiftleft("file_id", SHIFT) + idx).alias("def_id"), "kind").distinct()
+
+
+def analyze(spark: SparkSession, repo: str, start: str, end: str | None = None) -> Analysis:
+    """Indexes the tree (or revision `end`) and classifies the changes since `start`; the snapshot is saved after changes are listed."""
+    try:
+        holder = R.snapshot(repo, end) if end else nullcontext(repo)
+        with holder as root:
+            config = R.load_config(root)
+            index = build_index(spark, root, None if end else load_snapshot(spark, root), config.ignore)
+            try:
+                changed = R.changed_files(repo, start, end)
+            except R.GitError as e:
+                return Analysis(index, config, 0, None, f"changes cannot be listed: {e}")
+            kept = [c for c in changed if not R.ignored(c[0], config.ignore)]
+            seeds, reason = classify(spark, repo, start, index, kept)
+            if not end:
+                save_snapshot(index.extracted, root)
+            return Analysis(index, config, len(changed), seeds, reason)
+    except R.GitError as e:
+        empty = spark.createDataFrame([], R.EXTRACTION)
+        return Analysis(Index(graph_of(spark, repo, empty, [], set()), empty, 0, 0), R.Config(), 0, None, f"revision cannot be read: {e}")
+
+
+def tests_of(graph: Graph) -> DataFrame:
+    tests = graph.defs.where("kind = 'TestCase'").join(graph.files.select("file_id", "path", "lang"), "file_id")
+    return tests.select("def_id", F.col("path").alias("file"), X.test_name(F.col("test_id"), F.col("name")).alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", F.col("computed_name").alias("computed"))
+
+
+def select(a: Analysis) -> DataFrame:
+    """(def_id, file, name, runner, lang, computed) of the selected tests: walked ones and those that an always-run glob matches."""
+    tests = tests_of(a.index.graph)
+    chosen = walk.impacted_tests(a.index.graph, a.seeds)
+    always = tests.where(X.first_glob(F.col("file"), list(a.config.always_run)).isNotNull()).select("def_id")
+    return tests.join(chosen.union(always).distinct(), "def_id", "left_semi").orderBy("def_id")
+
+
+def why(a: Analysis, query: str) -> DataFrame:
+    """(def_id, file, name, match_str, always_run_glob, path) of the selected tests whose `file :: name` holds the query; the path is resolved for these alone."""
+    g = a.index.graph
+    tests = tests_of(g).withColumn("match_str", F.concat(F.col("file"), F.lit(" :: "), F.array_join("name", " > ")))
+    tests = tests.where(F.contains("match_str", F.lit(query))).withColumn("glob", X.first_glob(F.col("file"), list(a.config.always_run)))
+    visited = walk.impact(g, a.seeds)
+    found = walk.paths(visited, tests)
+    out = tests.join(found, "def_id", "left").where("path IS NOT NULL OR glob IS NOT NULL")
+    return out.select("def_id", "file", "name", "match_str", F.when(F.col("path").isNull(), F.col("glob")).alias("always_run_glob"), F.coalesce("path", F.array().cast(found.schema["path"].dataType)).alias("path")).orderBy("def_id")
+
+
+def index_report(spark: SparkSession, root: str, full: bool = False) -> dict:
+    began = time.time()
+    config = R.load_config(root)
+    index = build_index(spark, root, None if full else load_snapshot(spark, root), config.ignore)
+    save_snapshot(index.extracted, root)
+    row = stats(index.graph).first().asDict()
+    return {"version": VERSION, **{k: row[k] for k in ("files", "defs", "tests")}, "parsed": index.parsed, "reused": index.reused, "ms": int(1000 * (time.time() - began)), **{k: row[k] for k in ("calls", "reads", "unresolved")}}
