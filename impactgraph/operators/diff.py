@@ -35,3 +35,14 @@ def seed_kind(change):
 def scan_importers(imports_raw: DataFrame, needles: DataFrame) -> DataFrame:
     """(file_id): files with a raw import that contains one of the needles. A substring join; needles come from changed paths, a few a change."""
     return imports_raw.join(needles, F.contains(F.col("raw"), F.col("needle")), "left_semi").select("file_id").distinct()
+
+
+def all_changes(diffed: DataFrame, untracked: DataFrame) -> DataFrame:
+    """(path, status): changes between revisions, and untracked files as Added where the diff does not name them."""
+    fresh = untracked.select("path").distinct().join(diffed, "path", "left_anti").withColumn("status", F.lit("Added"))
+    return diffed.select("path", "status").unionByName(fresh)
+
+
+def first_reason(changes: DataFrame, reason) -> DataFrame:
+    """(reason): that of the first change in order (ord) that has one; no row if none does."""
+    return changes.withColumn("reason", reason).where("reason IS NOT NULL").agg(F.min_by("reason", "ord").alias("reason")).where("reason IS NOT NULL")

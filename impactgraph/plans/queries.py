@@ -231,3 +231,63 @@ def path_functions(spark, sf_dir):
 def glob_filter(spark, sf_dir):
     f = D.derived(spark, sf_dir).files
     return f.where(X.first_glob(F.col("path"), ["src/NATION_{1,2}*/*[02468].ts"]).isNotNull()).select("path")
+
+
+CANDIDATES = f"""SELECT c_custkey AS file_id, 0 AS ord, p AS priority, CASE p WHEN 0 THEN concat('src/', n_name, '/missing.ts') WHEN 1 THEN concat('src/', n_name, '/Supplier#', lpad(cast(c_custkey % 40 AS varchar(9)), 9, '0'), '.ts') ELSE f.path END AS candidate
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN files f ON f.file_id = c_custkey % {D.N} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2) q WHERE p < 2 OR c_custkey % 2 = 0"""
+
+
+@query("first_candidate", f"WITH {D.WITH}, c AS ({CANDIDATES})\nSELECT file_id, ord, min_by(candidate, priority) AS resolved FROM c WHERE candidate IN (SELECT path FROM files) GROUP BY file_id, ord")
+def first_candidate(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    g.files.createOrReplaceTempView("files")
+    return resolve.first_existing(spark.sql(CANDIDATES), g.files)
+
+
+SOURCE_REFS = "SELECT l_orderkey AS from_def, 'call' AS ref_kind, p_name AS name, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS qualifier, l_linenumber AS line, l_partkey AS place FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+@query("ref_dedup", f"SELECT from_def, ref_kind, name, qualifier, min(line) AS line FROM ({SOURCE_REFS}) GROUP BY from_def, ref_kind, name, qualifier")
+def ref_dedup(spark, sf_dir):
+    D.tables(spark, sf_dir, ("lineitem", "part"))
+    return resolve.dedup_refs(spark.sql(SOURCE_REFS), ["line", "place"]).drop("place")
+
+
+@query("go_deletion_siblings", f"WITH {D.WITH}\nSELECT file_id FROM files WHERE lang = 'go' AND dir IN (SELECT dir FROM files WHERE file_id % 9 = 4)")
+def go_deletion_siblings(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    return resolve.same_directory(g.files, g.files.where("file_id % 9 = 4"), "go")
+
+
+@query("change_union", "SELECT p_name || cast(p_partkey AS varchar(9)) AS path, CASE WHEN p_partkey % 3 = 0 THEN 'Modified' ELSE 'Added' END AS status FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
+def change_union(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
+    return diff.all_changes(part.where("p_partkey % 3 = 0").select("path", F.lit("Modified").alias("status")), part.where("p_partkey % 2 = 0"))
+
+
+@query("first_run_all_reason", "SELECT concat('config file changed: ', min_by(path, ord)) AS reason FROM (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 7 = 5 THEN concat(s_name, '/go.mod') ELSE s_name END AS path FROM supplier) WHERE path LIKE '%/go.mod'")
+def first_run_all_reason(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), F.when(F.expr("s_suppkey % 7 = 5"), F.concat("s_name", F.lit("/go.mod"))).otherwise(F.col("s_name")).alias("path"))
+    return diff.first_reason(s, F.when(X.is_config_file(F.col("path")), F.concat(F.lit("config file changed: "), "path")))
+
+
+@query("select_report", f"WITH {D.WITH}\nSELECT concat('{{\"file\":\"', f.path, '\",\"name\":[\"', d.name, '\"],\"runner\":\"', CASE f.lang WHEN 'ts' THEN 'vitest' WHEN 'go' THEN 'gotest' ELSE 'cargo' END, '\",\"lang\":\"', f.lang, '\",\"computed\":false}}') AS test FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase' AND d.def_id % 5 = 0")
+def select_report(spark, sf_dir):
+    g = D.derived(spark, sf_dir)
+    t = g.defs.where("kind = 'TestCase' AND def_id % 5 = 0").join(g.files, "file_id")
+    name = X.test_name(F.lit(None).cast("array<string>"), F.col("name"))
+    return t.select(F.to_json(F.struct(F.col("path").alias("file"), name.alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", F.lit(False).alias("computed"))).alias("test"))
+
+
+@query("quote_args", f"SELECT p_partkey, {QUOTE.format('p_name')} AS quoted, {QUOTE.format('p_brand')} AS brand, {QUOTE.format('cast(p_partkey AS varchar(9))')} AS bare, {GO_ESCAPE.format('concat(p_name, chr(36), p_brand, chr(46))')} AS pattern FROM part")
+def quote_args(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", X.sh_quote(F.col("p_name")).alias("quoted"), X.sh_quote(F.col("p_brand")).alias("brand"), X.sh_quote(F.col("p_partkey").cast("string")).alias("bare"), X.escape_go_regex(F.concat("p_name", F.lit("$"), "p_brand", F.lit("."))).alias("pattern"))
+
+
+@query("edge_counts", f"WITH {D.WITH}\nSELECT d.kind, (SELECT count(*) FROM known_calls c JOIN defs x ON x.def_id = c.from_def WHERE x.kind = d.kind) AS calls, (SELECT count(*) FROM unknown_calls c JOIN defs x ON x.def_id = c.from_def WHERE x.kind = d.kind) AS unresolved FROM (SELECT DISTINCT kind FROM defs) d")
+def edge_counts(spark, sf_dir):
+    """Calls by the caller's kind, resolved and not."""
+    g = D.derived(spark, sf_dir)
+    by = g.calls.join(g.defs.select(F.col("def_id").alias("from_def"), "kind"), "from_def").groupBy("kind").agg(F.count("to_def").alias("calls"), F.count("unknown_name").alias("unresolved"))
+    return g.defs.select("kind").distinct().join(by, "kind", "left").select("kind", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
