@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: The Unicode White_Space characters; the tokenizer never joins what stands on both sides of such a boundary.
-WHITE = "\t-\r \x85\xa0  -     　"
-PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters: a run of them, with its leading space, is one token group wherever white space or these signs follow.
+LATIN, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?|"
+PIECE = re.compile(f" ?[{LATIN}]++(?=[{WHITE}{SIGNS}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WORD = re.compile(f" [{LATIN}]+")
 
 
 def default_path() -> str:
@@ -21,35 +25,67 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    A text is cut where the tokenizer's own pre-tokenizer always cuts (before a word with its leading space,
-    and around runs of white space). Each distinct piece is encoded once by the library and kept while the cache has
-    room; texts that hold an added token's string go to the library whole. The ids equal those of encoding the text.
+    A text is cut only where the tokenizer's own pre-tokenizer always cuts: before a word with its leading space, between
+    letters and a sign, and around runs of white space. Each distinct piece is encoded once by the library and kept in two generations of
+    bounded size; texts that hold an added token's string go to the library whole. The ids equal those of encoding the text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.cache = limit, {}
+        self.limit, self.cache, self.old = limit, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, out, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), [], 0
+        for x in ids:
+            out.append(flat[at : at + 4 * len(x)])
+            at += 4 * len(x)
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        cache, old = self.cache, self.old
+        words, rest = [], []
+        for p in pieces:
+            if p in old:
+                cache[p] = old[p]
+            else:
+                (words if WORD.fullmatch(p) else rest).append(p)
+        for i in range(0, len(words), 4096):  # words stay apart in one text; the library tells which ids are whose
+            part = words[i : i + 4096]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist(), len(ids)]
+            if len(cuts) != len(part) + 1:
+                rest += part
+                continue
+            cache.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for i in range(0, len(rest), 4096):
+            cache.update(zip(rest[i : i + 4096], self._encode(rest[i : i + 4096]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = ["" if t is None else t for t in texts]
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        pieces = [() if i in whole else PIECE.findall(t) for i, t in enumerate(texts)]
         if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        new = list({p for ps in pieces for p in ps if p not in cache})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            cache.update(zip(part, self._encode(part), strict=True))
-        get = cache.__getitem__
-        return [self._encode([texts[i]])[0] if i in whole else b"".join(map(get, ps)) for i, ps in enumerate(pieces)]
+            self.old, self.cache = self.cache, {}
+        get, out, later, new = self.cache.get, [], [], {}
+        for text in texts:
+            if not text or any(a in text for a in self.added):
+                out.append(self._encode([text])[0] if text else b"")
+                continue
+            pieces = PIECE.findall(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                later.append((len(out), pieces))
+                new.update(dict.fromkeys(p for p, x in zip(pieces, ids, strict=True) if x is None))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self._learn(list(new))
+        for i, pieces in later:
+            out[i] = b"".join(map(self.cache.__getitem__, pieces))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -24,14 +24,21 @@ SCHEMA = "part int, shard int, plane int, zeros long, n long, bits binary, ranks
 
 def build(ids: np.ndarray, planes: int) -> list[tuple[int, int, bytes, bytes]]:
     """(plane, zeros, bits, ranks) of each bit-plane, the highest first."""
-    out = []
+    out, n = [], len(ids)
+    ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for p in range(planes - 1, -1, -1):
-        bit = ((ids >> np.uint32(p)) & np.uint32(1)).astype(bool)
+        bit = (ids & ids.dtype.type(1 << p)) != 0
         packed = np.packbits(bit, bitorder="little")
-        ends = np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64)) if len(bit) else np.zeros(0, np.int64)
-        ranks = np.concatenate(([0], ends)).astype("<u4")
-        out.append((p, int(len(bit) - ranks[-1]), packed.tobytes(), ranks.tobytes()))
-        ids = np.concatenate((ids[~bit], ids[bit]))
+        words = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), dtype=np.uint8)
+        words[: len(packed)] = packed
+        ones = np.bitwise_count(words.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
+        ranks = np.concatenate(([0], np.cumsum(ones))).astype("<u4")
+        zeros = n - int(ranks[-1])
+        out.append((p, zeros, packed.tobytes(), ranks.tobytes()))
+        after = np.empty_like(ids)
+        np.compress(~bit, ids, out=after[:zeros])
+        np.compress(bit, ids, out=after[zeros:])
+        ids = after
     return out
 
 
