@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: ASCII white space that separates words: space, and tab to carriage return.
@@ -34,7 +35,37 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, text_col: str) -> DataFrame:
+    """df with the text as compressed bytes, so that a join moves about a third less; null stays null."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data = [None if t is None else pack.compress(t.encode()) for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if n == text_col else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in df.schema.fields]))
+
+
+def unpacked(data: bytes | None) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
 def ship(spark: SparkSession) -> None:

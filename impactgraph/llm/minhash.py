@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets form a class, so a group of copies is one node however large it is. Bands of full
 minima give candidates; the low bits of all minima, packed into one binary, estimate each candidate's similarity, corrected for chance collisions, by counting equal
-positions; texts confirm what the estimate leaves. No bucket emits all its pairs: every member meets the bucket's hub first, and only
-members still in different components meet each other, most similar first, until no untested pair across components is left.
+positions; texts confirm what the estimate leaves. No bucket emits its pairs: every node meets its least hub
+first, and only in buckets that still hold several components members meet each other, in blocks of bounded size that return joining links alone.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, small_batches, staged, windows_of, words_of
+from .common import discard, documents, mix, packed, small_batches, staged, unpacked, windows_of, words_of
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 8
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -23,9 +23,9 @@ _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)).astype(np.uint32
 SETS = "doc_id long, n_shingles long, node long, sig binary, bands array<long>"
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+def shingle_set(text: str | bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
-    hashes = words_of((text or "").encode(), lower=True)[2]
+    hashes = words_of(text if isinstance(text, bytes) else (text or "").encode(), lower=True)[2]
     if not len(hashes):
         return hashes
     return np.unique(windows_of(hashes, min(size, len(hashes)), seed=0 if len(hashes) >= size else len(hashes)))
@@ -76,7 +76,7 @@ def _confirm(threshold: int):
         for batch in batches:
             a, b = [], []
             for h, node, role, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "node", "role", "text")), strict=True):
-                own = shingle_set(text)
+                own = shingle_set(unpacked(text))
                 if node_of(own) != node:  # another text under a repeated id
                     continue
                 if role == 0:
@@ -115,43 +115,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(floor: float, top: int):
-    """Within one block pair of a bucket: for each member the `top` untested partners of other components it most resembles."""
+def joined(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """comps after more edges: only the graph of the components that these touch is searched."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    ends = staged(ends.where("a <> b").distinct(), "links")
+    if ends.isEmpty():
+        return comps
+    moved = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    known = comps.unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    return staged(known.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+
+
+def _across(floor: float, threshold: int):
+    """Within one block pair of a bucket: links that join members of different components, most similar pairs first.
+
+    A pair is looked at in the first band that its members share. Pairs that links found here have joined already need no test, so a block gives fewer links than
+    it has members.
+    """
 
     def run(key, table):
         t = table.to_pydict()
-        node, comp, n, side = (np.array(t[c]) for c in ("node", "comp", "n", "side"))
+        node, comp, n, side = (np.array(t[c], dtype=np.int64) for c in ("node", "comp", "n", "side"))
         sig = np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(node), -1)
-        a_at, b_at = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(b_at):
-            b_at = a_at
-        out_a, out_b, out_e = [], [], []
-        tested = {i: set(x or ()) for i, x in zip(t["node"], t["tested"], strict=True)}
-        for at, other in ((a_at, b_at), (b_at, a_at)) if b_at is not a_at else ((a_at, a_at),):
-            for i in at:
-                ok = other[(comp[other] != comp[i])]
-                ok = ok[4 * np.minimum(n[ok], n[i]) >= 3 * np.maximum(n[ok], n[i])]
-                if not len(ok):
-                    continue
+        bands = np.array(t["bands"], dtype=np.int64)
+        here = int(np.flatnonzero((bands == key[0].as_py()).all(axis=0))[0])
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if key[1].as_py() != key[2].as_py() else left
+        pairs = []
+        for i in left:
+            ok = right[(comp[right] != comp[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))]
+            if right is left:
+                ok = ok[ok > i]
+            if here and len(ok):
+                ok = ok[~(bands[ok, :here] == bands[i, :here]).any(axis=1)]
+            if len(ok):
                 e = estimate(sig[ok], sig[i])
-                order = np.lexsort((node[ok], -e))
-                left = top
-                for j in order:
-                    if e[j] < floor or not left:
-                        break
-                    pair = (int(node[i]), int(node[ok[j]]))
-                    if pair[1] in tested[pair[0]] or pair[0] in tested.get(pair[1], ()):
-                        continue
-                    left -= 1
-                    out_a.append(min(pair))
-                    out_b.append(max(pair))
-                    out_e.append(float(e[j]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "e": pa.array(out_e, pa.float64())})
+                pairs += [(-float(x), int(i), int(j)) for x, j in zip(e, ok, strict=True) if x >= floor]
+        home = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while home[c] != c:
+                home[c] = c = home[home[c]]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+
+        def own(i):
+            if i not in sets:
+                s = shingle_set(unpacked(t["text"][i]))
+                sets[i] = s if node_of(s) == t["node"][i] else s[:0]  # another text under a repeated id
+            return sets[i]
+
+        out_a, out_b = [], []
+        for _, i, j in sorted(pairs):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(own(i), own(j), assume_unique=True))
+            if both and 100 * both >= threshold * (len(own(i)) + len(own(j)) - both):
+                home[max(x, y)] = min(x, y)
+                out_a.append(t["node"][i])
+                out_b.append(t["node"][j])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, floor: float = 0.58, block: int = 2000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, floor: float = 0.58, block: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: its near-duplicate component.
 
     Two documents are linked when 100 * intersection >= threshold * union of their sets of distinct 5-word shingles (A-Z lower-cased). component_id is
@@ -176,30 +207,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return a.astype("float64")
         return __import__("pandas").Series(estimate(*(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))))
 
-    pairs = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # One pair a node: its least hub. What that leaves apart meets in the rounds below.
+    pairs = member.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
     side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sig")])
     pairs = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")).where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     pairs = staged(pairs.withColumn("e", similar("sig_a", "sig_b")).where(F.col("e") >= floor).select("a", "b"), "pairs")
     want = classes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    texts = staged(source.join(want, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "texts")
+    texts = staged(packed(source, "text").join(want, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "texts")
     edges = confirm(pairs, texts, threshold, "edges")
-    tested, top = pairs.select("a", "b"), 4
-    while True:
-        comps = components(edges)
-        placed = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node"))
-        known = both.agg(F.collect_set("b").alias("tested"))
-        open_ = placed.join(split, "band", "left_semi").join(facts, "node").join(known, "node", "left")
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
-        open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        open_ = open_.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "n", "sig", "tested")
-        found = open_.groupBy("band", "lo", "hi").applyInArrow(_across(floor, top), "a long, b long, e double").select("a", "b").distinct()
-        found = staged(found, "pairs")
-        if found.isEmpty():
-            break
-        edges = staged(edges.unionByName(confirm(found, texts, threshold, "edges")), "edges")
-        tested, top = staged(tested.unionByName(found), "tested"), top * 4
+    comps = staged(components(edges), "comps")
+    placed = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+    open_ = placed.join(split, "band", "left_semi").join(classes.select("node", "n", "sig", "bands"), "node").join(texts, "node")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = open_.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "n", "sig", "bands", "text")
+    links = staged(open_.groupBy("band", "lo", "hi").applyInArrow(_across(floor, threshold), "a long, b long").distinct(), "links")
+    comps = joined(comps, links)
+    discard(texts, member, buckets)
     home = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "node").join(home.join(least, "comp").select("node", "component_id"), "node", "left")
