@@ -171,13 +171,17 @@ class Model:
         return memo[key]
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, train, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, tuple[float, float]]:
-    """At most per_label labelled rows of either label, chosen by a hash of the id, with the shares of all labelled rows kept."""
+def examples(docs: DataFrame, labels: DataFrame, label: str, train, per_label: int, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 100_000) -> tuple[list, tuple[float, float]]:
+    """At most per_label labelled rows of either label, chosen by a hash of the id, with the shares of all labelled rows kept.
+
+    Texts of more than max_chars characters are no examples, so the sample's size on the driver is bounded; they are scored like all others.
+    """
     known = labels.where(train & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__label"))
     totals = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     ids = [known.where(F.col("__label") == y).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     picked = F.broadcast(ids[0].unionByName(ids[1]).withColumnRenamed("doc_id", "__id"))  # at most 2 * per_label rows
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(picked, F.col("__doc") == F.col("__id"))
+    short = docs.where(F.coalesce(F.char_length(text_col), F.lit(0)) <= max_chars)
+    rows = short.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(picked, F.col("__doc") == F.col("__id"))
     rows = [(r["__id"], r["__text"], r["__label"]) for r in rows.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).collect()]
     return rows, tuple(min(1.0, per_label / max(1, totals.get(y, 0))) for y in (0, 1))
 
