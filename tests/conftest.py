@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.adaptive.enabled", "false")  # tiny tables: planning costs more than it saves
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{shared}")
