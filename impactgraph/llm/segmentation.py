@@ -37,7 +37,7 @@ class Segmenter:
     least score of an ordinary piece; a piece sign in the text itself takes that way too, so decoding gives back every text.
     """
 
-    def __init__(self, path: str, nbest: int = 4, limit: int = 300_000):
+    def __init__(self, path: str, nbest: int = 4, limit: int = 600_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,7 +53,7 @@ class Segmenter:
         cut = f"{SPACE}?[{LETTERS}]++(?=[{SPACE}{signs}]|\\Z)|" if not any(SPACE in q.lstrip(SPACE) for q in self.pieces) else ""
         self.words = re.compile(f"{cut}{SPACE}*[^{SPACE}]+|{SPACE}+") if cut else re.compile("(?s).+")
         self.fallback = min(s for _, s in self.pieces.values() if s > -1e8) - 10
-        self.of_byte = {i: b for b, i in self.bytes.items()}
+        self.raw = {i: p.replace(SPACE, " ").encode() for i, p in self.text.items()} | {i: bytes((b,)) for b, i in self.bytes.items()}
         self.nbest, self.limit, self.cache, self.old, self.more = nbest, limit, {}, {}, {}
 
     def lattice(self, word: str) -> tuple[list[float], list[tuple[int, int, float, int | str]], list[int]]:
@@ -188,11 +188,7 @@ class Segmenter:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: byte pieces become their bytes, piece signs spaces, and the first space goes."""
-        out = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            b = self.of_byte.get(i)
-            out += self.text[i].replace(SPACE, " ").encode() if b is None else bytes((b,))
-        return out.decode().removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode().removeprefix(" ")
 
 
 _SEGMENTERS: dict = {}
