@@ -91,9 +91,10 @@ SCOPE = "scope AS (SELECT file_id, file_id AS target_file FROM files UNION SELEC
 FOUND = f"refs AS ({REFS}),\n{SCOPE},\nfound AS (SELECT DISTINCT r.from_def, d.def_id AS to_def, r.name FROM refs r JOIN scope s USING (file_id) JOIN defs d ON d.file_id = s.target_file AND d.short_name = r.name WHERE d.kind <> 'ModuleInit' AND d.def_id <> r.from_def)"
 
 
-def _resolved(spark, sf_dir) -> DataFrame:
+def _resolved(spark, sf_dir, lang: str | None = "ts") -> DataFrame:
+    """Calls of REFS by the scopes of the files' own languages, or by those of one language, which is what the SQL of the first two queries states."""
     g = D.derived(spark, sf_dir)
-    files = g.files.withColumn("lang", F.lit("ts"))
+    files = g.files if lang is None else g.files.withColumn("lang", F.lit(lang))
     return resolve.resolve_refs(spark.sql(REFS), resolve.scopes(files, g.imports), g.defs)[0]
 
 
@@ -107,6 +108,17 @@ def unknown_calls(spark, sf_dir):
     return _resolved(spark, sf_dir).where("unknown_name IS NOT NULL").select("from_def", "unknown_name")
 
 
+@query("resolve_refs_all")
+def resolve_refs_all(spark, sf_dir):
+    """Resolved edges with the scope of each file's own language, so Go files see their directory."""
+    return _resolved(spark, sf_dir, None).where("to_def IS NOT NULL").select("from_def", "to_def")
+
+
+@query("unknown_calls_all")
+def unknown_calls_all(spark, sf_dir):
+    return _resolved(spark, sf_dir, None).where("unknown_name IS NOT NULL").select("from_def", "unknown_name")
+
+
 @query("go_scopes", f"WITH {D.WITH}\nSELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports UNION SELECT a.file_id, b.file_id FROM files a JOIN files b ON a.dir = b.dir WHERE a.lang = 'go' AND b.lang = 'go'")
 def go_scopes(spark, sf_dir):
     g = D.derived(spark, sf_dir)
