@@ -285,12 +285,21 @@ def first_run_all_reason(spark, sf_dir):
 
 @query("select_report", f"WITH {D.WITH}\nSELECT concat('{{\"file\":\"', f.path, '\",\"name\":[\"', d.name, '\"],\"runner\":\"', CASE f.lang WHEN 'ts' THEN 'vitest' WHEN 'go' THEN 'gotest' ELSE 'cargo' END, '\",\"lang\":\"', f.lang, '\",\"computed\":false}}') AS test FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase' AND d.def_id % 5 = 0")
 def select_report(spark, sf_dir):
-    g = D.derived(spark, sf_dir)
-    t = g.defs.where("kind = 'TestCase' AND def_id % 5 = 0").join(g.files, "file_id")
+    return _report(D.derived(spark, sf_dir), "kind = 'TestCase' AND def_id % 5 = 0")
+
+
+def _report(g, tests: str) -> DataFrame:
+    t = g.defs.where(tests).join(g.files, "file_id")
     name = X.test_name(F.lit(None).cast("array<string>"), F.col("name"))
     return t.select(F.to_json(F.struct(F.col("path").alias("file"), name.alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", F.lit(False).alias("computed"))).alias("test"))
 
 
+@query("select_report_all")
+def select_report_all(spark, sf_dir):
+    """The report's line of every test; select_report has every fifth, which is what its SQL states."""
+    return _report(D.derived(spark, sf_dir), "kind = 'TestCase'")
+
+
 @query("quote_args", f"SELECT p_partkey, {QUOTE.format('p_name')} AS quoted, {QUOTE.format('p_brand')} AS brand, {QUOTE.format('cast(p_partkey AS varchar(9))')} AS bare, {GO_ESCAPE.format('concat(p_name, chr(36), p_brand, chr(46))')} AS pattern FROM part")
 def quote_args(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
