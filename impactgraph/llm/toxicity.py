@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows is the example set. Its TF-IDF vectors live in an inverted index whose postings are cut
+A bounded sample of labelled rows is the example set. Its TF-IDF vectors hold all terms of the texts, those that go with label 1 weighted up, and live in an inverted index whose postings are cut
 into blocks of example numbers; each (term, block) knows its largest weight. A search adds these up to bounds, visits blocks from the highest bound down and
 stops when no bound can beat the k-th cosine, so neighbours are exact. Neighbours vote with their cosine; a logistic
 fit on leave-one-out votes turns votes into probabilities.
@@ -8,6 +8,7 @@ fit on leave-one-out votes turns votes into probabilities.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -34,59 +35,101 @@ def remainder(id_col: str, m: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
+def sparse(vector) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a vector that may be a dict."""
+    return (np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))) if isinstance(vector, dict) else vector
+
+
 class BlockMaxIndex:
-    """An inverted index over normalised sparse vectors with the largest weight of each (term, block of examples)."""
+    """An inverted index over normalised sparse vectors with the largest weight of each (term, block of examples) that has one.
+
+    A term that at least one in `common` examples has is a dense row instead; a search adds up such rows for all examples first.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = 64):
-        self.block, self.size = block, len(vectors)
+    def __init__(self, vectors, terms: int, block: int = 64, common: int = 4):
+        found = [sparse(v) for v in vectors]
+        self.block, self.size = block, len(found)
         self.blocks = max(1, -(-self.size // block))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], dtype=np.int64) for p in lists]
-        self.weights = [np.array([w for _, w in p]) for p in lists]
-        self.top = np.zeros((terms, self.blocks))
-        for t in range(terms):
-            np.maximum.at(self.top[t], self.ids[t] // block, self.weights[t])
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * block) for i in self.ids]
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        term = np.concatenate([t for t, _ in found] or [np.zeros(0, np.int64)]).astype(np.int32)
+        order = np.argsort(term, kind="stable")  # by term, then by example
+        term = term[order]
+        ids = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in found])[order]
+        weights = np.concatenate([w for _, w in found] or [np.zeros(0)])[order]
+        often = np.flatnonzero(np.bincount(term, minlength=terms) * common >= max(self.size, 1))
+        self.row = np.full(terms, -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * block))
+        own = self.row[term] >= 0
+        self.dense[self.row[term[own]], ids[own]] = weights[own]
+        term, self.ids, self.weights = term[~own], ids[~own], weights[~own]
+        at = self.ids // block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.cuts = np.r_[first, len(term)].astype(np.int32)
+        self.at, self.top = at[first], np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.pairs = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+
+    def search(self, query, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k highest cosines above 0 as (cosine, example), ties to the smaller example; `skip` is left out."""
-        if not query:
+        terms, weights = sparse(query)
+        if not len(terms):
             return []
-        terms, weights = list(query), np.array(list(query.values()))
-        bounds = weights @ self.top[terms]
+        row = self.row[terms]
+        partial = weights[row >= 0] @ self.dense[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0]
+        x, y = self.pairs[terms], self.pairs[terms + 1]
+        pairs, weights = spans(x, y), np.repeat(weights, y - x)
+        at = self.at[pairs]
+        bounds = partial.reshape(self.blocks, self.block).max(axis=1) + np.bincount(at, weights * self.top[pairs], self.blocks)
+        order = np.lexsort((np.arange(self.blocks), -bounds))
         best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(self.blocks), -bounds)):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
+        done, step = 0, 8
+        while done < self.blocks:
+            now = order[done : done + step]
+            now = now[(bounds[now] > 0) & ((bounds[now] >= -best[-1][0] - 1e-12) if len(best) == k else True)]
+            if not len(now):
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                x, y = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.ids[t][x:y] - b * self.block] += w * self.weights[t][x:y]
-            for i in np.flatnonzero(scores > 0):
-                if b * self.block + i != skip:
-                    best.append((-round(float(scores[i]), 12), int(b * self.block + i)))
-            best = sorted(best)[:k]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[now] = True
+            here = chosen[at]
+            x, y = self.cuts[pairs[here]], self.cuts[pairs[here] + 1]
+            own = spans(x, y)
+            scores = partial + np.bincount(self.ids[own], np.repeat(weights[here], y - x) * self.weights[own], len(partial))
+            if skip >= 0:
+                scores[skip] = 0
+            scores = np.where(np.repeat(chosen, self.block), np.round(scores, 12), 0)
+            hits = np.flatnonzero(scores > 0)
+            if len(hits) > k:
+                hits = hits[scores[hits] >= np.partition(scores[hits], -k)[-k]]
+            best = sorted(best + [(-float(scores[i]), int(i)) for i in hits])[:k]
+            done, step = done + step, self.blocks
         return [(-s, i) for s, i in best]
 
 
 class Model:
-    """Examples, vocabulary, index and calibration; small, and the same on every executor."""
+    """Examples, vocabulary, index and calibration; of bounded size, and the same on every executor."""
 
-    def __init__(self, rows: list[tuple[int, str | None, int]], rates: tuple[float, float], k: int = 15, share: float = 0.02, z: float = 5.0):
+    def __init__(self, rows: list[tuple[int, str | None, int]], rates: tuple[float, float], k: int = 15):
         """rows: (doc_id, text, label); rates: of all labelled rows, the share kept in the sample by label, to undo its balance."""
         rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
         self.k, self.ids, self.labels = k, [r[0] for r in rows], np.array([r[2] for r in rows], dtype=float)
-        words = [Counter(WORD.findall((t or "").lower())) for _, t, _ in rows]
-        self.vocabulary, self.known = self._choose(rows, words, share, z), {}
-        counts = [self._terms(w) for w in words]
-        self.idf = np.zeros(len(self.vocabulary))
-        for c in counts:
-            for t in c:
-                self.idf[t] += 1
-        self.idf = np.log((1 + len(rows)) / (1 + self.idf)) + 1
+        self.vocabulary, self.known = {}, {}
+        counts = []
+        for _, t, _ in rows:
+            words = Counter(WORD.findall((t or "").lower()))
+            for w in words:
+                for x in terms_of(w):
+                    self.vocabulary.setdefault(x, len(self.vocabulary))
+            counts.append(self._terms(words))
+        frequency = np.zeros(len(self.vocabulary))
+        for t, _ in counts:
+            frequency[t] += 1
+        self.idf = (np.log((1 + len(rows)) / (1 + frequency)) + 1) * self._telling(rows, [t for t, _ in counts], len(self.vocabulary))
         vectors = [self._vector(c) for c in counts]
         self.index = BlockMaxIndex(vectors, len(self.vocabulary))
         weight = np.array([1 / rates[int(y)] for y in self.labels]) if len(rows) else np.zeros(0)
@@ -97,8 +140,8 @@ class Model:
         self.fit = self._calibrate(np.array([self._vote(f) for f in found])[~none] if len(rows) else np.zeros(0), self.labels[~none], weight[~none])
 
     @staticmethod
-    def _choose(rows, counts, share: float, z: float) -> dict[str, int]:
-        """Terms of label 1: at least z standard errors and 20 times as frequent there, with near copies counted once."""
+    def _telling(rows, terms, size: int) -> np.ndarray:
+        """Each term's factor, 1 at least: the more, the surer and the more often it goes with label 1, with near copies counted once."""
         group, seen = [], {}
         for _, t, y in rows:
             marks = [(int(h), y) for h in shingle_set(t)[:8]]
@@ -106,39 +149,38 @@ class Model:
             for m in marks:
                 seen.setdefault(m, g)
             group.append(g)
-        holds, size = defaultdict(lambda: [set(), set()]), [set(), set()]
-        for (_, _, y), c, g in zip(rows, counts, group, strict=True):
-            size[y].add(g)
-            for term in {x for w in c for x in terms_of(w)}:
-                holds[term][y].add(g)
-        n0, n1 = max(1, len(size[0])), max(1, len(size[1]))
-        chosen = []
-        for w, (a, b) in holds.items():
-            p0, p1 = len(a) / n0, len(b) / n1
-            p = (len(a) + len(b)) / (n0 + n1)
-            error = (p * (1 - p) * (1 / n0 + 1 / n1)) ** 0.5
-            if p1 >= share and p0 <= p1 / 20 and error > 0 and (p1 - p0) / error >= z:
-                chosen.append(w)
-        return {w: i for i, w in enumerate(sorted(chosen))}
-
-    def _terms(self, words: Counter) -> dict[int, int]:
-        """How often each term of the vocabulary occurs; a word's terms are looked up once."""
-        out: dict[int, int] = {}
+        holds = defaultdict(list)
+        for (_, _, y), t, g in zip(rows, terms, group, strict=True):
+            holds[y, g].append(t)
+        n, count = np.zeros(2), np.zeros((2, size))
+        for (y, _), own in holds.items():
+            n[y] += 1
+            count[y, np.unique(np.concatenate(own))] += 1
+        p0, p1 = (count[y] / max(1, n[y]) for y in (0, 1))
+        p = count.sum(axis=0) / max(1, n.sum())
+        error = np.sqrt(p * (1 - p) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
+        z = np.divide(p1 - p0, error, out=np.zeros(size), where=error > 0)
+        lift = np.log((count[1] + 0.5) / (n[1] + 1) / ((count[0] + 0.5) / (n[0] + 1)))
+        return 1 + np.maximum(0, z) * np.maximum(0, lift)
+
+    def _terms(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary's terms in the words and how often each occurs; a word's terms are looked up once."""
         known, vocabulary = self.known, self.vocabulary
         if len(known) > 300_000:
             known.clear()
+        terms, times = [], []
         for w, n in words.items():
             own = known.get(w)
             if own is None:
                 known[w] = own = tuple(vocabulary[t] for t in terms_of(w) if t in vocabulary)
-            for t in own:
-                out[t] = out.get(t, 0) + n
-        return out
+            terms += own
+            times += [n] * len(own)
+        terms, at = np.unique(np.array(terms, dtype=np.int32), return_inverse=True)
+        return terms, np.bincount(at, times, len(terms))
 
-    def _vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: v[t] / norm for t in sorted(v)}
+    def _vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts[1])) * self.idf[counts[0]]
+        return counts[0], v / np.sqrt((v * v).sum()) if len(v) else v
 
     def _vote(self, found) -> float:
         total = sum(s for s, _ in found)
@@ -160,12 +202,11 @@ class Model:
         return self.__dict__ | {"known": {}}
 
     def score(self, text: str | None, memo: dict) -> tuple[float, list]:
-        words = self._terms(Counter(WORD.findall((text or "").lower())))
-        key = tuple(sorted(words.items()))
+        key = hashlib.blake2b((text or "").lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in memo:
-            found = self.index.search(self._vector(words), self.k)
+            found = self.index.search(self._vector(self._terms(Counter(WORD.findall((text or "").lower())))), self.k)
             value = 1 / (1 + np.exp(-(self.fit[0] + self.fit[1] * self._vote(found)))) if found else self.prior
-            if len(memo) > 100_000:
+            if len(memo) > 2_000:
                 memo.clear()
             memo[key] = (min(1.0, max(0.0, float(value))), [{"doc_id": self.ids[i], "cosine": s, "label": int(self.labels[i])} for s, i in found])
         return memo[key]
@@ -189,7 +230,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, train, per_label: i
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1), predicted (score >= 0.7) and evidence (the neighbours, nearest first).
 
-    Null, empty and wordless texts, and texts without a telling term, get the rate of such examples and no evidence. Input columns that
+    Null, empty and wordless texts, and texts without a term of any example, get the rate of such examples and no evidence. Input columns that
     bear an output's name are replaced. Repeated rows get equal scores. An empty table gives no rows.
     """
     spark = docs.sparkSession
