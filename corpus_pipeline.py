@@ -29,9 +29,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component."""
-    kept = minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """The document with the smallest doc_id of each near-duplicate component; rows that share an id are told apart by their texts."""
+    kept = minhash.near_dedup(docs, text_hash="__hash").where("kept").select(F.col("doc_id").alias("__kept"), "__hash").distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & minhash.hash_of("text").eqNullSafe(F.col("__hash")), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

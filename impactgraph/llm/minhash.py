@@ -50,7 +50,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - chance) / (1 - chance)
 
 
+def hash_of(text_col: str):
+    """SHA-256 of a text; null for a null text."""
+    return F.unhex(F.sha2(text_col, 256))
+
+
 def _sets(batches):
+    """Columns after the text pass through."""
     for batch in batches:
         ids, n, nodes, sigs, bands = batch.column(0), [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -67,7 +73,7 @@ def _sets(batches):
             for j in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
             bands.append(key.view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "n_shingles", "node", "sig", "bands", *batch.schema.names[2:]])
 
 
 def _confirm(threshold: int):
@@ -182,8 +188,8 @@ def _across(floor: float, threshold: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, floor: float = 0.58, block: int = 1000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: its near-duplicate component.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, floor: float = 0.58, block: int = 1000, text_hash: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row: its near-duplicate component; text_hash names a column for hash_of the row's text.
 
     Two documents are linked when 100 * intersection >= threshold * union of their sets of distinct 5-word shingles (A-Z lower-cased). component_id is
     the smallest id reachable; kept marks the row with that id. Null or wordless texts have an empty set, link with nothing and are kept. Repeated
@@ -193,7 +199,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = staged(source.mapInArrow(_sets, SETS), "sets")
+    carried = [] if text_hash is None else [text_hash]
+    sets = staged(source.select("*", *[hash_of("text").alias(c) for c in carried]).mapInArrow(_sets, SETS + "".join(f", {c} binary" for c in carried)), "sets")
     classes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -227,9 +234,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(texts, member, buckets)
     home = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "node").join(home.join(least, "comp").select("node", "component_id"), "node", "left")
+    out = sets.select("doc_id", "n_shingles", "node", *carried).join(home.join(least, "comp").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *carried).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash(spark, sf_dir):
