@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,20 +16,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-#: ASCII white space that separates words: space, and tab to carriage return.
-SPACES = np.zeros(256, dtype=bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/impactgraph-shared"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master has one of its own; a cluster raises."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="impactgraph-shared-")
+            atexit.register(shutil.rmtree, _OWN[app], True)
+        base = _OWN[app]
     return base.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
@@ -37,14 +46,54 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     out.staged_path = path
+    _STAGED.append(path)
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], parts: int) -> DataFrame:
+    """df as a table in the shared folder, dealt to `parts` buckets by keys, so that several joins on them move it once."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{table}"
+    df.repartition(parts, *keys).write.option("compression", "zstd").option("path", path).bucketBy(parts, *keys).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_path = path
+    _STAGED.append(path)
+    return out
+
+
+_STAGED: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables staged after the first `since`, but for those kept: what a result still reads must be kept or read before."""
+    kept = {df.staged_path for df in keep}
+    gone = [p for p in _STAGED[since:] if p not in kept]
+    _STAGED[since:] = [p for p in _STAGED[since:] if p in kept]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged_count() -> int:
+    return len(_STAGED)
+
+
+def spare(names, wanted: str) -> str:
+    """A column name like `wanted` that none of the names equals, whatever the case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if df.staged_path in _STAGED:
+            _STAGED.remove(df.staged_path)
 
 
 def packed(df: DataFrame, text_col: str) -> DataFrame:
@@ -106,56 +155,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[str, np.ndarray] = {}
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
+_WORDS: dict[bytes, bytes] = {}
+_KEPT, _LONGEST, _BLOCK = 1 << 20, 64, 1 << 20
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _POWERS.get(kind)
-    if have is None or len(have) < n:
-        base = np.uint64(_BASE if kind == "up" else _INVERSE)
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        _POWERS[kind] = have = np.multiply.accumulate(have)
-    return have[:n]
+def _digests(words: list[bytes]) -> bytes:
+    """16 bytes a word (BLAKE2b); those of short words are kept between calls, in a table of bounded size."""
+    digest = hashlib.blake2b
+    found = list(map(_WORDS.get, words))
+    if None in found:
+        if len(_WORDS) > _KEPT:
+            _WORDS.clear()
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = own = digest(words[i], digest_size=16).digest()
+                if len(words[i]) <= _LONGEST:
+                    _WORDS[words[i]] = own
+    return b"".join(found)
 
 
-def words_of(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes.
+def words_of(data: bytes, lower: bool = False) -> np.ndarray:
+    """128-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes: one row of two unsigned 64-bit halves a word.
 
-    A word's hash is a polynomial over random byte values, finalised and mixed with its length.
+    The hash is cryptographic, so no texts are known whose different words agree. Long texts are split block by block.
     """
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if lower and len(raw):
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    if not len(raw):
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0, dtype=np.uint64)
-    edge = np.diff(np.concatenate(([True], SPACES[raw], [True])).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _powers("up", len(raw)), out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * _powers("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    out, at = [], 0
+    while at < len(data):
+        found = _CUT.search(data, at + _BLOCK)
+        end = found.start() if found else len(data)
+        part = data[at:end]
+        words = (part.lower() if lower else part).split()
+        if words:
+            out.append(_digests(words))
+        at = end
+    return np.frombuffer(b"".join(out), dtype="<u8").reshape(-1, 2)
 
 
 def windows_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each window of `size` consecutive words, by doubling: a window is two windows of half its size."""
-    step = pow(_BASE + 2 * seed, 1, 1 << 64) | 1
-    out, have, done, offset = None, mix(hashes + np.uint64(seed)), 1, 0
+    """64-bit hash of each window of `size` consecutive words, given one column of their hashes.
+
+    By doubling: a window is two windows of half its size, whose hashes are mixed together without linear relations, so rearranged or regular windows differ.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    left = size
+    out, have, done, offset, left = None, mix(hashes + np.uint64((seed * 0xD1342543DE82EF95 + 1) % 2**64)), 1, 0, size
     while left:
         if left & 1:
             part = have[offset : offset + n]
-            out = part.copy() if out is None else out * np.uint64(pow(step, done, 1 << 64)) + part
+            out = part if out is None else joint(out, part)
             offset += done
         left >>= 1
         if left:
-            have = have[:-done] * np.uint64(pow(step, done, 1 << 64)) + have[done:]
+            have = joint(have[:-done], have[done:])
             done *= 2
-    return mix(out)
+    return out
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two in order."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0xA24BAED4963EE407)))
+
+
+def wide_windows(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of windows, as two halves that come from the halves of the word hashes."""
+    return windows_of(hashes[:, 0], size), windows_of(hashes[:, 1], size, 7)

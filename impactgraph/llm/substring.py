@@ -3,8 +3,9 @@
 A window of `size` words can only be repeated if every shorter window inside it is. Level one hashes windows of length `base`, level two those of
 twice that length, and so on to `size`; only positions whose window is repeated go on to the next level. At a level below `size` each size-window is
 stood for by its anchor, the inner window of least hash: equal size-windows have equal anchors, so no repeat is lost and about one position in six
-moves. Repeats inside one batch are settled there, so a passage that a third of all documents share sends one row a
-batch to its key. The last level marks every window that has an earlier occurrence.
+moves. Repeats that a task has met are settled there (it keeps the latest in a table of bounded size), so a passage that a third of all documents share
+sends about one row a task to its key. The last level marks every window that has an earlier occurrence. Windows are told apart by 128 bits, made of 128-bit
+hashes of their words.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, mix, small_batches, staged, windows_of, words_of
+from .common import bucketed, discard, documents, mix, small_batches, spare, staged, wide_windows, windows_of, words_of
 
 OUT = ("n_words", "n_removed", "kept_text")
-KEY, POS, TEXT = "__h", "__positions", "__z"
+HOT = 1 << 17
 ANCHORS = "part long, id long, h long, pos int, sure boolean"
 MARKS = "part long, k long, id long, h long, pos int, n int, sure boolean"
 
@@ -57,7 +58,7 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def _packed(ids: str, text: str):
+def _packed(text: str, packed: str, null: str):
     def run(batches):
         import zstandard
 
@@ -65,7 +66,7 @@ def _packed(ids: str, text: str):
         for batch in batches:
             data = [(t or "").encode() for t in batch.column(text).to_pylist()]
             names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([pack.compress(d) if d else None for d in data], pa.binary()), pa.array([t is None for t in batch.column(text).to_pylist()], pa.bool_())], [*names, TEXT, "__null"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([pack.compress(d) if d else None for d in data], pa.binary()), pa.array([t is None for t in batch.column(text).to_pylist()], pa.bool_())], [*names, packed, null])
 
     return run
 
@@ -79,11 +80,20 @@ def _ids(column) -> tuple[np.ndarray, np.ndarray]:
     return np.where(null, np.iinfo(np.int64).max, column.fill_null(0).to_numpy()), null
 
 
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 def _anchor_rows(size: int, lengths: list[int], packed: bool):
     """Emits the anchors at lengths[-1] of the windows that lived through the levels before it (positions given for the last of those)."""
     length = lengths[-1]
 
     def run(batches):
+        hot = np.zeros(0, dtype=np.int64)  # keys that this task has told others are repeated
         for batch in batches:
             ids, _ = _ids(batch.column("id"))
             hs = batch.column("h").to_numpy()
@@ -91,7 +101,7 @@ def _anchor_rows(size: int, lengths: list[int], packed: bool):
             texts = batch.column("text").to_pylist()
             before = batch.column("positions").to_pylist() if packed else [None] * len(texts)
             for i, (t, p) in enumerate(zip(texts, before, strict=True)):
-                hashes = words_of(_unpack(t) if packed else (t or "").encode())[2]
+                hashes = words_of(_unpack(t) if packed else (t or "").encode())[:, 0]
                 if len(hashes) < size:
                     continue
                 alive = None
@@ -106,9 +116,11 @@ def _anchor_rows(size: int, lengths: list[int], packed: bool):
                 continue
             keys, owner, at = np.concatenate(keys).view(np.int64), np.concatenate(owner), np.concatenate(at)
             _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-            sure = count[back] > 1
+            known = _found(hot, keys)[1]
+            sure = known | (count[back] > 1)
             part = np.where(sure, mix((ids[owner].astype(np.uint64) << np.uint64(20)) + at.astype(np.uint64)).view(np.int64), keys)
-            flag = np.unique(keys[sure])  # one row tells other batches that the key is repeated
+            flag = np.unique(keys[sure & ~known])  # one row tells other tasks that the key is repeated
+            hot = np.union1d(hot, flag) if len(hot) + len(flag) <= HOT else flag
             none = np.zeros(len(flag), dtype=np.int64)
             yield _batch([np.concatenate((part, flag)), np.concatenate((ids[owner], none)), np.concatenate((hs[owner], none)), np.concatenate((at, none - 1)), np.concatenate((sure, none > 0))], ["part", "id", "h", "pos", "sure"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])
 
@@ -116,19 +128,20 @@ def _anchor_rows(size: int, lengths: list[int], packed: bool):
 
 
 def _mark_rows(size: int, length: int):
-    """Emits surviving size-windows: those with an earlier one in the batch as sure runs, the others one by one."""
+    """Emits surviving size-windows: those with an earlier one that this task has met as sure runs, the others one by one."""
 
     def run(batches):
+        hot = [np.zeros(0, dtype=np.int64)] * 5  # k1 (sorted), k2, id, h, pos of the first occurrences of windows that this task met more than once
         for batch in batches:
             ids, _ = _ids(batch.column("id"))
             hs = batch.column("h").to_numpy()
             k1, k2, owner, at = [], [], [], []
             for i, (t, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist(), strict=True)):
-                hashes = words_of(_unpack(t))[2]
-                inner, least, _ = level(hashes, size, length)
+                hashes = words_of(_unpack(t))
+                inner, least, _ = level(hashes[:, 0], size, length)
                 starts = np.flatnonzero(survivors(inner, least, np.array(p), size - length + 1))
-                k1.append(windows_of(hashes, size)[starts])
-                k2.append(windows_of(hashes, size, seed=7)[starts])
+                for out, keys in zip((k1, k2), wide_windows(hashes, size), strict=True):
+                    out.append(keys[starts])
                 owner.append(np.full(len(starts), i))
                 at.append(starts)
             if not k1:
@@ -143,26 +156,52 @@ def _mark_rows(size: int, length: int):
             twin = np.zeros(len(at), dtype=bool)
             a, b = same[1:], same[:-1]
             twin[a] = later[a] & (ids[owner[a]] == ids[owner[b]]) & (hs[owner[a]] == hs[owner[b]]) & (at[a] == at[b])
-            later &= ~twin
+            heads = np.zeros(len(at), dtype=bool)  # the first of several equal windows
+            heads[b] = later[a] & ~later[b]
+            # Equal (id, h, start) are later only where the first of them is.
+            group = np.cumsum(~later[same])
+            for_same = np.zeros(len(at), dtype=bool)
+            for_same[same] = _after_first(group, twin[same])
+            later = for_same
+            place, met = _found(hot[0], k1)
+            if len(hot[0]):
+                f_id, f_h, f_pos = (c[place] for c in hot[2:])
+                o_id, o_h = ids[owner], hs[owner]
+                before = (f_id < o_id) | ((f_id == o_id) & ((f_h < o_h) | ((f_h == o_h) & (f_pos < at))))
+                later |= met & (hot[1][place] == k2) & before
+            fresh = np.flatnonzero(heads & ~later)
+            if len(fresh):
+                own = [k1[fresh], k2[fresh], ids[owner[fresh]], hs[owner[fresh]], at[fresh].astype(np.int64)]
+                if len(hot[0]) + len(fresh) <= HOT:
+                    own = [np.concatenate(c) for c in zip(own, hot, strict=True)]
+                hot = [c[np.unique(own[0], return_index=True)[1]] for c in own]  # a new first one stands before the old
             one, many = np.flatnonzero(~later), np.flatnonzero(later)
             cut = np.flatnonzero((np.diff(owner[many]) != 0) | (np.diff(at[many]) != 1)) + 1
             first = many[np.concatenate(([0], cut))] if len(many) else many
             runs = np.diff(np.concatenate(([0], cut, [len(many)]))) if len(many) else many
             spread = mix((ids[owner[first]].astype(np.uint64) << np.uint64(20)) + at[first].astype(np.uint64)).view(np.int64)
-            yield _batch([np.concatenate((k1[one], spread)), np.concatenate((k2[one], np.zeros(len(first), np.int64))), ids[owner[np.concatenate((one, first))]], hs[owner[np.concatenate((one, first))]], at[np.concatenate((one, first))], np.concatenate((np.ones(len(one), np.int64), runs)), np.concatenate((np.zeros(len(one), bool), np.ones(len(first), bool)))], ["part", "k", "id", "h", "pos", "n", "sure"], [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.bool_()])
+            rows = np.concatenate((one, first))
+            yield _batch([np.concatenate((k1[one], spread)), np.concatenate((k2[one], np.zeros(len(first), np.int64))), ids[owner[rows]], hs[owner[rows]], at[rows], np.concatenate((np.ones(len(one), np.int64), runs)), np.concatenate((np.zeros(len(one), bool), np.ones(len(first), bool)))], ["part", "k", "id", "h", "pos", "n", "sure"], [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.bool_()])
 
     return run
 
 
-def _remove(size: int, text: str, names: list[str]):
+def _after_first(group: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    """For rows sorted by group and place: whether a row is later than its group's first place. twin marks rows at the place of the row before."""
+    new = np.r_[True, group[1:] != group[:-1]]
+    step = np.cumsum(~twin & ~new)  # places begun since the start, but for the groups' first
+    return step > np.maximum.accumulate(np.where(new, step, -1))
+
+
+def _remove(size: int, text: str, names: list[str], z: str, null: str, marks: str):
     def run(batches):
         for batch in batches:
             texts, words, removed, kept = [], [], [], []
-            for z, null, runs in zip(batch.column(TEXT).to_pylist(), batch.column("__null").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                data = _unpack(z) if z else b""
+            for data, none, runs in zip(*(batch.column(c).to_pylist() for c in (z, null, marks)), strict=True):
+                data = _unpack(data) if data else b""
                 own = data.split()
                 gone = 0
-                texts.append(None if null else data.decode())
+                texts.append(None if none else data.decode())
                 words.append(len(own))
                 if runs:
                     cover = np.zeros(len(own) + 1, dtype=np.int64)
@@ -180,45 +219,51 @@ def _remove(size: int, text: str, names: list[str]):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, base: int = 10) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, base: int = 5) -> DataFrame:
     """Every row of docs with n_words, n_removed and kept_text: the words that no repeated window covers, joined by one space.
 
     A word goes when a window of `size` words covers it whose word sequence also starts earlier: in a smaller id, or earlier in the same document. Windows
     are judged on the input. Words are runs of bytes other than ASCII white space. Null and wordless texts have no words. Rows that repeat
     an id and a text are one document; rows that repeat an id with other texts are ordered by a hash of the text; null ids come last. Input columns that bear an
-    output's name are replaced. base, doubled, has to reach size exactly. Windows are told apart by 128 bits.
+    output's name are replaced; all others stay, whatever their names. An empty table gives no rows. base, doubled, has to reach size exactly.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*OUT, KEY, POS, TEXT, "__null", "marks")
+    docs = docs.drop(*OUT)
     lengths = [base]
     while 2 * lengths[-1] < size:
         lengths.append(2 * lengths[-1])
     if 2 * lengths[-1] != size:
         raise ValueError("base must reach size by doubling")
     names = docs.columns
-    rows = docs.withColumn(KEY, F.xxhash64(text_col))
-    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("h"), F.col(text_col).alias("text"))
+    own_hash, z, null, runs, own_id, mark_id, mark_hash = (spare(names, f"__{n}") for n in ("hash", "packed", "null", "marks", "own", "id", "of"))
+    rows = docs.withColumns({own_hash: F.xxhash64(text_col), own_id: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))})
+    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(own_hash).alias("h"), F.col(text_col).alias("text"))
     fields = [f for f in rows.schema.fields if f.name != text_col]
-    packed = rows.mapInArrow(_packed(id_col, text_col), T.StructType([*fields, T.StructField(TEXT, T.BinaryType()), T.StructField("__null", T.BooleanType())]))
-    last = (1 << 63) - 1
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(KEY).alias("h")]
-    small = packed.select(*key, F.col(TEXT).alias("text"))
+    packed = rows.mapInArrow(_packed(text_col, z, null), T.StructType([*fields, T.StructField(z, T.BinaryType()), T.StructField(null, T.BooleanType())]))
+    # The texts are dealt by (id, hash) once; the joins of all levels find them there.
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    packed = bucketed(packed, "substring-texts", (own_id, own_hash), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (64 << 20))))
+    small = packed.select(F.col(own_id).alias("id"), F.col(own_hash).alias("h"), F.col(z).alias("text"))
+    alive = None
     for k in range(len(lengths)):
-        if k == 0:
+        if alive is None:
             anchors = plain.mapInArrow(_anchor_rows(size, lengths[:1], False), ANCHORS)
         else:
-            anchors = small.join(alive, ["id", "h"]).mapInArrow(_anchor_rows(size, lengths[: k + 1], True), ANCHORS)  # noqa: F821
+            anchors = small.join(alive, ["id", "h"]).mapInArrow(_anchor_rows(size, lengths[: k + 1], True), ANCHORS)
         counted = anchors.withColumn("seen", F.count("*").over(Window.partitionBy("part")))
-        alive = counted.where("pos >= 0 AND (sure OR seen > 1)").groupBy("id", "h").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+        before, alive = alive, counted.where("pos >= 0 AND (sure OR seen > 1)").groupBy("id", "h").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
         alive = staged(alive, f"level-{lengths[k]}")
+        if before is not None:
+            discard(before)
     marks = small.join(alive, ["id", "h"]).mapInArrow(_mark_rows(size, lengths[-1]), MARKS)
     first = Window.partitionBy("part", "k", "sure").orderBy("id", "h", "pos")
-    marks = marks.withColumn("rank", F.rank().over(first)).where("sure OR rank > 1").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    marks = staged(marks, "marks").select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "marks")
-    joined = packed.withColumns({"__id": key[0], "__hash": F.col(KEY)}).join(marks, ["__id", "__hash"], "left").drop("__id", "__hash", KEY)
+    marks = marks.withColumn("rank", F.rank().over(first)).where("sure OR rank > 1").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(runs))
+    marks = staged(marks, "marks").select(F.col("id").alias(mark_id), F.col("h").alias(mark_hash), runs)
+    discard(alive)
+    joined = packed.join(marks, (F.col(own_id) == F.col(mark_id)) & (F.col(own_hash) == F.col(mark_hash)), "left").drop(own_id, mark_id, mark_hash, own_hash)
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_remove(size, text_col, names), out)
+    return joined.mapInArrow(_remove(size, text_col, names, z, null, runs), out)
 
 
 def op4_substring_dedup(spark, sf_dir):
