@@ -1,9 +1,10 @@
-"""Token ids on disk as wavelet matrices: succinct bit-planes with rank and select, one compressed file per shard range.
+"""Token ids on disk as wavelet matrices: succinct bit-planes with rank and select, one compressed row a shard.
 
-File format: Parquet, rows (shard, plane, zeros, n, bits, ranks). A shard is a run of documents in ascending id order. Plane p holds
-bit p of every id, in the order left by the planes above it (zeros first, stable); `bits` are its packed bits, `ranks` the ones before
-each block of 512 bits, and `zeros` its number of zeros. One row with plane -1 holds the documents: ids, and ends as
-token counts. From these alone a reader gets the id at a place, the count of an id before a place, and the place of an id's k-th occurrence.
+File format: Parquet, rows (part, shard, n, ids, valid, ends, planes). A shard is a run of documents in ascending id order, and part and shard order the
+shards. `ids`, `valid` and `ends` are its documents' ids, whether they are not null, and their ends as token counts. `planes` holds, from the highest bit
+down, (plane, zeros, bits, ranks): the packed bits of every id in the order left by the planes above (zeros first, stable), the ones before
+each block of 512 bits, and the number of zeros. From these alone a reader gets the id at a place, the count of an id, and the place of an id's k-th
+occurrence: `access`, `count` and `locate` answer over the written table, `WaveletMatrix` within one shard.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, staged
+from .common import discard, documents, small_batches, staged
 from .encoding import default_path, encoder
 
 BLOCK = 512
-SCHEMA = "part int, shard int, plane int, zeros long, n long, bits binary, ranks binary"
+SCHEMA = "part int, shard int, n long, ids binary, valid binary, ends binary, planes array<struct<plane:int,zeros:long,bits:binary,ranks:binary>>"
 
 
 def build(ids: np.ndarray, planes: int) -> list[tuple[int, int, bytes, bytes]]:
-    """(plane, zeros, bits, ranks) of each bit-plane, the highest first."""
+    """(plane, zeros, bits, ranks) of each bit-plane, the highest first. An id that does not fit raises ValueError."""
     out, n = [], len(ids)
+    if n and int(ids.max()) >> planes:
+        raise ValueError(f"id {int(ids.max())} does not fit in {planes} bits")
     ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for p in range(planes - 1, -1, -1):
         bit = (ids & ids.dtype.type(1 << p)) != 0
@@ -102,24 +105,30 @@ class WaveletMatrix:
         return ids
 
 
-def _rows(part: int, shard: int, ids: list[bytes], doc_ids: list, planes: int):
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    ends = np.cumsum([len(x) // 4 for x in ids]).astype("<i8")
-    docs = pa.array(doc_ids, pa.int64())
-    valid = np.array([d is not None for d in doc_ids], dtype=bool)
-    rows = [(part, shard, -1, len(doc_ids), len(flat), docs.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes(), ends.tobytes())]
-    rows += [(part, shard, p, z, len(flat), b, r) for p, z, b, r in build(flat, planes)]
-    names = ["part", "shard", "plane", "zeros", "n", "bits", "ranks"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    for r in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, types, strict=True)], names)
+KIND = pa.list_(pa.struct([("plane", pa.int32()), ("zeros", pa.int64()), ("bits", pa.binary()), ("ranks", pa.binary())]))
 
 
-def _write(path: str, end_id: int, shard_tokens: int, planes: int):
+def _row(part: int, shard: int, ids: list[bytes], doc_ids: list, planes: int) -> pa.RecordBatch:
+    flat = np.frombuffer(b"".join(ids), dtype="<u4")
+    docs = pa.array(doc_ids, pa.int64())
+    cols = {
+        "part": pa.array([part], pa.int32()),
+        "shard": pa.array([shard], pa.int32()),
+        "n": pa.array([len(flat)], pa.int64()),
+        "ids": pa.array([docs.fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()),
+        "valid": pa.array([np.array([d is not None for d in doc_ids], dtype=bool).tobytes()], pa.binary()),
+        "ends": pa.array([np.cumsum([len(x) // 4 for x in ids]).astype("<i8").tobytes()], pa.binary()),
+        "planes": pa.array([[dict(zip(("plane", "zeros", "bits", "ranks"), p, strict=True)) for p in build(flat, planes)]], KIND),
+    }
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def _write(path: str, end_id: int, shard_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
         part, enc, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u4").tobytes()
+        planes = max(end_id, enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, 1).bit_length()
         held, docs, size, shard = [], [], 0, 0
         for batch in batches:
             for d, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
@@ -127,54 +136,104 @@ def _write(path: str, end_id: int, shard_tokens: int, planes: int):
                 docs.append(d)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
-                    yield from _rows(part, shard, held, docs, planes)
+                    yield _row(part, shard, held, docs, planes)
                     held, docs, size, shard = [], [], 0, shard + 1
         if docs:
-            yield from _rows(part, shard, held, docs, planes)
+            yield _row(part, shard, held, docs, planes)
 
     return run
 
 
-def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21, part_bytes: int = 32 << 20, planes: int = 16) -> DataFrame:
+def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21, part_bytes: int = 32 << 20) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes wavelet matrices in ascending id order; returns the table of files.
 
     A null text is empty, so its document holds the end id alone. Repeated ids stay apart, ordered by a hash of their
-    texts; null ids come first. Ranges follow (id, hash), so one id with a third of all rows still spreads. Ids need fewer than `planes` bits.
+    texts; null ids come first. Ranges follow (id, hash), so one id with a third of all rows still spreads. The number of planes follows from the tokenizer's
+    size. Other columns are not carried, so none can clash. A shard ends with the document that reaches shard_tokens; an empty table has no shards.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranged = rows.repartitionByRange(int(max(1, -(-total // part_bytes))), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return staged(ranged.mapInArrow(_write(path or default_path(), end_id, shard_tokens, planes), SCHEMA), "wavelet")
+    return staged(ranged.mapInArrow(_write(path or default_path(), end_id, shard_tokens), SCHEMA), "wavelet")
+
+
+def _matrix(row: dict) -> WaveletMatrix:
+    return WaveletMatrix([(p["plane"], p["zeros"], p["bits"], p["ranks"]) for p in row["planes"]], row["n"])
 
 
-def _read(key, frames):
-    """One shard's rows to its documents, decoded from the planes."""
-    cols = frames.to_pydict()
-    planes = list(zip(cols["plane"], cols["zeros"], cols["bits"], cols["ranks"], strict=True))
-    _, count, docs, ends = next(p for p in planes if p[0] < 0)
-    n = cols["n"][0]
-    ids = WaveletMatrix([p for p in planes if p[0] >= 0], n).all().astype("<u4")
-    valid = np.frombuffer(docs[8 * count :], dtype=bool)
-    docs, ends = np.frombuffer(docs[: 8 * count], "<i8"), np.frombuffer(ends, "<i8")
-    starts = np.concatenate(([0], ends[:-1]))
-    crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-    size = len(docs)
-    return pa.table({"part": pa.array([cols["part"][0]] * size, pa.int32()), "shard": pa.array([cols["shard"][0]] * size, pa.int32()), "doc_id": pa.array(docs, pa.int64(), mask=~valid), "local": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+def _documents(batches):
+    """Shards to their documents, decoded from the planes."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, docs, ends = _matrix(row).all().astype("<u4"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
+            starts, size = np.concatenate(([0], ends[:-1])), len(docs)
+            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+            cols = [pa.array([row["part"]] * size, pa.int32()), pa.array([row["shard"]] * size, pa.int32()), pa.array(docs, pa.int64(), mask=~np.frombuffer(row["valid"], dtype=bool)), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+
+
+def _running(shards: DataFrame, value: str) -> DataFrame:
+    """(part, shard, before): the sum of value over all shards before. Parts are summed first, so the last step has one row a part in its only task."""
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum(value).alias("total"))
+    parts = parts.select("part", before(Window.orderBy("part"), "total").alias("base"))
+    inner = shards.withColumn("inner", before(Window.partitionBy("part").orderBy("shard"), value)).join(parts, "part")
+    return inner.select("part", "shard", (F.col("base") + F.col("inner")).alias("before"))
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the wavelet files alone."""
-    out = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
-    docs = files.groupBy("part", "shard").applyInArrow(_read, out)
-    # One row a shard; parts are summed first, so the running total has one row a part in its only task.
-    shards = files.where("plane = -1").select("part", "shard", "n")
-    parts = shards.groupBy("part").agg(F.sum("n").alias("total"))
-    run = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", run(Window.orderBy("part"), "total").alias("base"))
-    starts = shards.withColumn("inner", run(Window.partitionBy("part").orderBy("shard"), "n")).join(parts, "part")
-    return docs.join(starts.select("part", "shard", (F.col("base") + F.col("inner")).alias("base")), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the wavelet files alone; planes are decoded where they are read."""
+    docs = files.mapInArrow(_documents, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    starts = _running(files.select("part", "shard", "n"), "n")
+    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def access(files: DataFrame, places: list[int]) -> DataFrame:
+    """(place, id) of the ids at places counted over the whole table; places outside it give no row. The places are the caller's list; shards without any are not read."""
+    places = sorted(set(places))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = _matrix(row)
+                own = [p for p in places if row["before"] <= p < row["before"] + row["n"]]
+                yield pa.RecordBatch.from_pydict({"place": pa.array(own, pa.int64()), "id": pa.array([matrix.access(p - row["before"]) for p in own], pa.int64())})
+
+    starts = _running(files.select("part", "shard", "n"), "n").join(files.select("part", "shard", "n"), ["part", "shard"])
+    hit = F.exists(F.lit(places).cast("array<long>"), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))
+    wanted = starts.where(hit).select("part", "shard", "before")
+    return files.join(wanted, ["part", "shard"]).select("part", "shard", "n", "before", "planes").mapInArrow(run, "place long, id long")
+
+
+def _counts(values: list[int]):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = _matrix(row)
+                found = [matrix.count(v) for v in values]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(values), pa.int32()), "shard": pa.array([row["shard"]] * len(values), pa.int32()), "id": pa.array(values, pa.int64()), "n": pa.array(found, pa.int64())})
+
+    return run
+
+
+def count(files: DataFrame, values: list[int]) -> DataFrame:
+    """(id, n): how often each of the ids occurs in the whole table, by rank queries on each shard."""
+    found = files.select("part", "shard", "n", "planes").mapInArrow(_counts(sorted(set(values))), "part int, shard int, id long, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def locate(files: DataFrame, value: int, k: int) -> int | None:
+    """The place, over the whole table, of an id's k-th occurrence from 0; None if there are fewer. One shard's planes are selected on."""
+    found = staged(files.select("part", "shard", "n", "planes").mapInArrow(_counts([value]), "part int, shard int, id long, n long"), "occurrences")
+    before = _running(found, "n").join(found, ["part", "shard"]).where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()
+    discard(found)
+    if before is None or k < 0:
+        return None
+    row = files.where((F.col("part") == before["part"]) & (F.col("shard") == before["shard"])).first().asDict(True)
+    start = _running(files.select("part", "shard", "n"), "n").where((F.col("part") == before["part"]) & (F.col("shard") == before["shard"])).first()["before"]
+    return start + _matrix(row).locate(value, k - before["before"])
 
 
 def op2_wavelet(spark, sf_dir):
