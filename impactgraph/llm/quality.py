@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, spare
 from .toxicity import examples, remainder
 
 MARKS, DIGITS, CAPITALS = "|$%#&*@!~^<>{}[]=_+\\", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -144,21 +144,19 @@ def compile_rules(intercept: float, rules: list[tuple[Rule, float]], columns: li
 def quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1), predicted (score >= 0.7) and held_out (crc32 of the id as text is 2 modulo 4; not learnt from).
 
-    Learns from at most per_label labelled rows of either label. Null texts count as empty; repeated rows get equal scores; without labels all get the
+    Learns from at most per_label labelled rows of either label, whatever their length: only their statistics leave the executors. Null texts count as empty; repeated rows get equal scores; without labels all get the
     same score. Input columns that bear an output's name are replaced. An empty table gives no rows.
     """
-    docs = docs.drop(*OUT, "__stats")
-    rows, rates = examples(docs, labels, "quality", remainder("doc_id", 4) != 2, per_label, id_col, text_col)
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    x = np.zeros((0, len(NAMES)))
-    if rows:
-        sample = docs.sparkSession.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "i int, t string")
-        x = np.array([r[1:] for r in sorted(sample.select("i", *[c.alias(n) for n, c in statistics(F.col("t")).items()]).collect())], dtype=float)
-    y = np.array([r[2] for r in rows], dtype=float)
-    intercept, rules = fit(x, y, np.array([1 / rates[r[2]] for r in rows]))
-    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()])
-    out = docs.withColumn("__stats", stats)
-    out = out.withColumn("score", compile_rules(intercept, rules, [F.col(f"__stats.{n}") for n in NAMES])).drop("__stats")
+    docs = docs.drop(*OUT)
+    stats = spare(docs.columns, "__stats")
+    measured = lambda df: df.select("id", "label", "h", F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()]).alias("x"))
+    rows, rates = examples(docs, labels, "quality", remainder("doc_id", 4) != 2, per_label, measured, id_col, text_col)
+    rows.sort(key=lambda r: r[0])
+    x = np.array([list(r[2]) for r in rows], dtype=float).reshape(len(rows), len(NAMES))
+    y = np.array([r[1] for r in rows], dtype=float)
+    intercept, rules = fit(x, y, np.array([1 / rates[r[1]] for r in rows]))
+    out = docs.withColumn(stats, F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()]))
+    out = out.withColumn("score", compile_rules(intercept, rules, [F.col(f"{stats}.{n}") for n in NAMES])).drop(stats)
     return out.withColumns({"predicted": F.when(F.col("score") >= 0.7, 1).otherwise(0), "held_out": F.coalesce(remainder(id_col, 4) == 2, F.lit(False))})
 
 
