@@ -3,6 +3,10 @@
 A text is a lattice of pieces between its characters. Forward Viterbi scores are exact heuristics for a backward A-star search, which then yields
 paths in order of their score without detours. No piece spans a word boundary, so a text's lattice is a chain of its words' lattices. Each distinct
 word's best path and its loss to the second best are kept; only the N - 1 words of least loss can change in the text's N best, and only those are searched further.
+A long word without a boundary is cut where no piece goes across; a run of one repeated letter has no such place, and its lattice is held whole.
+
+The model file that is at hand was made for merges, so its scores are ranks of merges. They are used here as unigram scores: results are the N best paths by these scores, and
+not the merges that the library makes of such a model.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from .common import documents, small_batches
 
 SPACE, ESCAPED = "▁", "\ud800"
 LETTERS, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?|"
+LONG = 1 << 13  # characters of a word from which its lattice is cut
 OUT = ("n_pieces", "score", "n_found", "next_score", "ids_crc32", "nbest_crc32", "round_trip")
 
 
@@ -82,6 +87,25 @@ class Segmenter:
                 edges.append((i, i + 1, self.fallback, word[i]))
         return best, edges, back
 
+    def cut(self, word: str) -> list[str]:
+        """A long word cut where no piece goes across, which all paths pass; so its lattice is held part by part."""
+        out, start, reach, get = [], 0, 0, self.table.get
+        for i in range(len(word)):
+            if reach <= i and i - start >= LONG // 4:
+                out.append(word[start:i])
+                start = i
+            reach, j = max(reach, i + 1), i
+            while j < len(word):
+                j += 1
+                found = get(word[i:j])
+                if found is None:
+                    break
+                if found[0] >= 0:
+                    reach = max(reach, j)
+                if not found[2]:
+                    break
+        return [*out, word[start:]]
+
     def _ids(self, pieces: list[int | str]) -> bytes:
         out: list[int] = []
         for p in pieces:
@@ -157,6 +181,8 @@ class Segmenter:
             return [(0.0, b"")]
         cache, own = self.cache, self._word
         words = self.words.findall(SPACE + text.replace(SPACE, ESCAPED).replace(" ", SPACE))
+        if max(map(len, words)) > LONG:
+            words = [part for w in words for part in (self.cut(w) if len(w) > LONG else (w,))]
         found = [cache.get(w) or own(w) for w in words]
         base, ids = sum(f[0] for f in found), [f[1] for f in found]
         out = [(base, b"".join(ids))]
@@ -208,7 +234,7 @@ def segment(docs: DataFrame, path: str | None = None, nbest: int = 4, text_col:
     repeated rows get equal results; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(*OUT, "nbest")
+    docs = docs.drop(*OUT, *["nbest"] * with_ids)
     path = path or default_path()
     fields = [T.StructField(n, t) for n, t in zip(OUT, (T.LongType(), T.DoubleType(), T.IntegerType(), T.DoubleType(), T.LongType(), T.LongType(), T.BooleanType()), strict=True)]
     if with_ids:

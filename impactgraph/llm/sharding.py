@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches, staged
+from .common import documents, small_batches, spare, staged
 
-OUT = ("size", "law", "shard", "grown_shard", "bucket", "pos", "order_hash", "slot", "text_crc32")
+OUT = ("size", "law", "shard", "grown_shard", "bucket", "slot", "text_crc32")
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -40,7 +40,7 @@ def fisher_yates(order: np.random.Generator, n: int) -> np.ndarray:
     return at
 
 
-def _shuffled(schema: pa.Schema, seed: int, chunk_bytes: int):
+def _shuffled(schema: pa.Schema, seed: int, chunk_bytes: int, pos: str):
     def run(batches):
         held, size, now, base, chunk = [], 0, None, 0, 0
 
@@ -48,7 +48,7 @@ def _shuffled(schema: pa.Schema, seed: int, chunk_bytes: int):
             nonlocal held, size, base, chunk
             table = pa.Table.from_batches(held)
             at = fisher_yates(np.random.default_rng([seed, *now, chunk]), len(table))
-            table = table.take(pa.array(at)).append_column("pos", pa.array(np.arange(base, base + len(at)), pa.int64()))
+            table = table.take(pa.array(at)).append_column(pos, pa.array(np.arange(base, base + len(at)), pa.int64()))
             base, chunk, held, size = base + len(at), chunk + 1, [], 0
             yield from table.select(schema.names).cast(schema).to_batches(max_chunksize=2048)
 
@@ -78,11 +78,14 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text
     Added columns: size (UTF-8 bytes of the text, none for null, plus 16), law, shard, grown_shard (with one more shard),
     bucket, text_crc32 (of the text as the file has it) and slot (the record's place in its shard, gapless from 0). Null keys count as a key of their own; repeated rows are
     separate records. Rows that are equal in all columns share a bucket; one that outgrows four times bucket_bytes is shuffled in runs of that
-    size, so memory stays bounded. Input columns that bear an output's name are replaced. An empty table gives no rows.
+    size, so memory stays bounded; rows come to it in the order of the hash of their contents, which is uniform, so the runs are uniform parts of the bucket. Input
+    columns that bear an output's name are replaced, all others stay. An empty table gives no rows.
     """
     spark = df.sparkSession
     small_batches(spark)
-    df = df.drop(*OUT).withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16)
+    df = df.drop(*OUT)
+    pos, order_hash, before_ = (spare(df.columns, f"__{n}") for n in ("pos", "order", "before"))
+    df = df.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16)
     total = df.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
 
@@ -95,18 +98,18 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text
 
     plain = [c for c, t in df.dtypes if not t.startswith("map")]
     hashed = F.xxhash64(F.lit(seed), F.col(key))
-    scattered = df.withColumns({"shard": jumps(shards)(hashed), "grown_shard": jumps(shards + 1)(hashed), "order_hash": F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in plain])})
-    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "order_hash"), F.lit(per_shard)).cast("long"))
-    scattered = scattered.repartitionById(int(shards * per_shard), (F.col("shard") * per_shard + F.col("bucket")).cast("int")).sortWithinPartitions("shard", "bucket", "order_hash", key).drop("order_hash")
-    out = T.StructType([*scattered.schema.fields, T.StructField("pos", T.LongType())])
+    scattered = df.withColumns({"shard": jumps(shards)(hashed), "grown_shard": jumps(shards + 1)(hashed), order_hash: F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in plain])})
+    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), order_hash), F.lit(per_shard)).cast("long"))
+    scattered = scattered.repartitionById(int(shards * per_shard), (F.col("shard") * per_shard + F.col("bucket")).cast("int")).sortWithinPartitions("shard", "bucket", order_hash, key).drop(order_hash)
+    out = T.StructType([*scattered.schema.fields, T.StructField(pos, T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    written = staged(scattered.mapInArrow(_shuffled(to_arrow_schema(out), seed, 4 * bucket_bytes), out), "shards")
+    written = staged(scattered.mapInArrow(_shuffled(to_arrow_schema(out), seed, 4 * bucket_bytes, pos), out), "shards")
     written = written.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    written = written.join(counts.select("shard", "bucket", before.alias("before")), ["shard", "bucket"])
-    return written.withColumns({"slot": F.col("before") + F.col("pos"), "law": F.lit("key")}).drop("before", "pos")
+    written = written.join(counts.select("shard", "bucket", before.alias(before_)), ["shard", "bucket"])
+    return written.withColumns({"slot": F.col(before_) + F.col(pos), "law": F.lit("key")}).drop(before_, pos)
 
 
 def op1_sharding(spark, sf_dir):

@@ -10,7 +10,7 @@ def test_rare_and_plain_terms_are_searched():
     insults = ["".join(r.choice("bcdfghjkpqvwxz") for _ in range(6)) for _ in range(100)]
     plain = lambda: r.sample(words, 12)
     rows = [(i, " ".join(plain()), 0) for i in range(300)] + [(300 + i, " ".join([*plain(), insults[i % 100]]), 1) for i in range(300)]
-    model = toxicity.Model(rows, (0.1, 1.0))
+    model = toxicity.Model([toxicity.example(*x) for x in rows], (0.1, 1.0))
     bad = [model.score(" ".join([*plain(), insults[i]]), {}) for i in range(50)]
     good = [model.score(" ".join(plain()), {}) for _ in range(50)]
     assert all(e for _, e in bad + good)

@@ -16,16 +16,42 @@ def lower(text):
 
 
 def test_words_and_windows():
-    data = "A b\tb\n c  a b".encode()
-    starts, ends, hashes = common.words_of(data)
-    assert [data[a:b] for a, b in zip(starts, ends)] == data.split()
-    words = data.split()
-    assert all((hashes[i] == hashes[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    words = "A b\tb\n c  a b".encode().split()
+    hashes = common.words_of(b" A b\tb\n c  a\x0b\x0cb\r")
+    assert hashes.shape == (len(words), 2)
+    for half in (0, 1):
+        assert all((hashes[i, half] == hashes[j, half]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
     for size in (1, 2, 3):
-        w = common.windows_of(hashes, size)
+        w = common.windows_of(hashes[:, 0], size)
         grams = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
         assert all((w[i] == w[j]) == (grams[i] == grams[j]) for i in range(len(w)) for j in range(len(w)))
-    assert len(common.words_of(b"")[0]) == 0 and len(common.windows_of(hashes, 99)) == 0
+    assert len(common.words_of(b"")) == len(common.words_of(b" \n")) == 0 and len(common.windows_of(hashes[:, 0], 99)) == 0
+    assert (common.words_of(b"AB \xc3\x89", lower=True) == common.words_of(b"ab \xc3\x89")).all()
+
+
+def test_long_texts_are_split_in_blocks(monkeypatch):
+    r = random.Random(1)
+    words = [str(r.randrange(10**9)) * r.choice([1, 1, 40]) for _ in range(300)]
+    whole = common.words_of(" ".join(words).encode())
+    monkeypatch.setattr(common, "_BLOCK", 50)
+    monkeypatch.setattr(common, "_KEPT", 10)
+    assert (common.words_of("\n ".join(words).encode()) == whole).all()
+
+
+def thue_morse(n):
+    """A word and its complement: different texts that agree under every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_regular_words_and_windows_differ():
+    a, b = thue_morse(1024)
+    x, y = (common.words_of(t.encode())[0] for t in (a, b))
+    assert (x != y).all()
+    one, two = (common.words_of(" ".join(t).encode()) for t in (a, b))
+    for size in (16, 20, 64, 1024):
+        for p, q in zip(common.wide_windows(one, size), common.wide_windows(two, size), strict=True):
+            assert p[0] != q[0]
 
 
 def test_jump_moves_only_to_the_new_shard():
@@ -46,6 +72,18 @@ def test_wavelet_matrix(n):
         assert [w.locate(v, k) for k in range(min(5, len(at)))] == list(at[:5]) and w.locate(v, len(at)) is None
 
 
+@pytest.mark.parametrize("planes", [17, 20])
+def test_wavelet_keeps_wide_ids(planes):
+    ids = np.array([65543, 7, 65543, 100_000, 0], np.uint32)
+    w = wavelet.WaveletMatrix(wavelet.build(ids, planes), len(ids))
+    assert w.all().tolist() == ids.tolist() and [w.access(i) for i in range(5)] == ids.tolist() and w.count(65543) == 2 and w.locate(65543, 1) == 2
+
+
+def test_wavelet_refuses_ids_that_do_not_fit():
+    with pytest.raises(ValueError):
+        wavelet.build(np.array([65536], np.uint32), 16)
+
+
 ENCODER = encoding.Encoder(encoding.default_path(), limit=40)
 BITS = [" ", "  ", "\n", "\t", "a", "foo", "Été", "'s", "don't", ".", "..", "!?", "1", "中文", "\x85", " ", "　", "́", "|", "<|endoftext|>", "\x1c", "\x00", "🙂", "x²", "_"]
 
@@ -75,7 +113,7 @@ def brute_windows(docs, size):
 @given(st.lists(st.integers(0, 2), min_size=4, max_size=60))
 def test_anchors_lose_no_repeat(word_ids):
     """Equal windows have equal anchors at every level, so repeats survive."""
-    hashes = common.words_of(" ".join(map(str, word_ids)).encode())[2]
+    hashes = common.words_of(" ".join(map(str, word_ids)).encode())[:, 0]
     inner, least, chosen = substring.level(hashes, 4, 2)
     full = common.windows_of(hashes, 4)
     for i in range(len(full)):
@@ -95,6 +133,9 @@ def test_minhash_estimates():
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
         sig = [(minhash.minima(s) & np.uint32(255)).astype(np.uint8) for s in (x, y)]
         assert abs(minhash.estimate(*sig) - true) < 0.16
+    tm = thue_morse(1024)
+    assert not len(np.intersect1d(*(minhash.shingle_set(f"word one two three {t}") for t in tm)))
+    assert minhash.node_of(minhash.shingle_set("a b")) != minhash.node_of(minhash.shingle_set("a c"))
     assert len(minhash.shingle_set("a b c")) == 1 and len(minhash.shingle_set(" \n")) == 0 and len(minhash.shingle_set(None)) == 0
     assert (minhash.shingle_set("A b C d e f") == minhash.shingle_set("a B c D e f")).all()
 
@@ -173,14 +214,41 @@ def test_block_max_search_is_exact():
 
 
 def test_probes_come_in_order():
-    places = np.array([0.1, 0.45, 0.8])
-    found = ann.probes(places, 27)
-    every = []
-    for a in (-1, 0, 1):
-        for b in (-1, 0, 1):
-            for c in (-1, 0, 1):
-                every.append(sum(0 if s == 0 else (p if s < 0 else 1 - p) ** 2 for p, s in zip(places, (a, b, c))))
-    assert np.allclose([s for s, _ in found], sorted(every)) and len({tuple(sorted(m)) for _, m in found}) == 27
+    """All valid perturbations of one table, the least sum of squared wall distances first; each bucket once."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 5))
+    hashes = ann.Hashes(x, 1, 3, 0.5)
+    assert len(hashes.sets) == 27 and not hashes.sets[0].any()
+    for q in x[:20]:
+        cells = hashes.cells(q[None])[0][0]
+        floors, places = np.floor(cells), cells - np.floor(cells)
+        every = []
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                for c in (-1, 0, 1):
+                    step = np.array([a, b, c])
+                    score = float((np.where(step < 0, places, np.where(step > 0, 1 - places, 0)) ** 2).sum())
+                    every.append((score, int(hashes.keys((floors + step)[None], np.zeros(1))[0])))
+        assert hashes.probe_keys(q, 27).tolist() == [k for _, k in sorted(every)]
+        assert hashes.probe_keys(q, 5).tolist() == [k for _, k in sorted(every)][:5]
+        assert int(hashes.bucket_keys(q[None])[0, 0]) == hashes.probe_keys(q, 1)[0]
+
+
+def test_recall_target_or_everything():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 24))
+    hashes, count, recall = ann.tuned(x, 500, 10, 0.97)
+    hit = total = 0
+    keys = hashes.bucket_keys(x)
+    for q in range(0, 500, 10):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += np.isin(keys[np.argsort(d)[:10]], hashes.probe_keys(x[q], count)).any(axis=1).sum()
+        total += 10
+    assert hit / total >= 0.95 and recall >= 0.97
+    hashes, count, recall = ann.tuned(x, 500, 10, 1.1)  # a target that no probes reach: one bucket
+    assert (hashes.a.shape[1], count, recall) == (0, 1, 1.0)
+    assert len({int(k) for k in hashes.bucket_keys(x)[:, 0]} | set(hashes.probe_keys(x[0], 1).tolist())) == 1
 
 
 def test_rules_fit():
@@ -193,6 +261,48 @@ def test_rules_fit():
     assert quality.fit(x[:0], y[:0], y[:0])[1] == [] and quality.fit(x, np.ones(600), np.ones(600))[1] == []
 
 
+def test_vectors_votes_and_scores_by_brute_force():
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    vocabulary = ["".join(chr(97 + int(d)) for d in w[1:]) * 2 for w in vocabulary]
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.randint(0, 12))), int(i % 3 == 0)) for i in range(80)]
+    for telling in (False, True):
+        model = toxicity.Model([toxicity.example(*x) for x in rows], (0.5, 1.0), k=7, telling=telling)
+        texts = [x[1].split() for x in rows]
+        df = {w: sum(w in t for t in texts) for w in vocabulary}
+        factor = (lambda w: 1.0) if not telling else (lambda w: model.idf[model.vocabulary[w]] / (np.log(81 / (1 + df[w])) + 1))
+
+        def vector(words):
+            v = {w: (1 + np.log(words.count(w))) * (np.log(81 / (1 + df[w])) + 1) * factor(w) for w in set(words) if w in model.vocabulary}
+            n = sum(x * x for x in v.values()) ** 0.5
+            return {w: x / n for w, x in v.items()}
+
+        index = [vector(t) for t in texts]
+        assert all(f >= 1 - 1e-12 for f in map(factor, model.vocabulary))
+        for _ in range(25):
+            text = " ".join(r.choices(vocabulary, k=r.randint(1, 9)))
+            q = vector(text.split())
+            every = sorted((-round(sum(x * v.get(w, 0.0) for w, x in q.items()), 9), i) for i, v in enumerate(index))
+            want = [(-s, i) for s, i in every if s < 0][:7]
+            score, evidence = model.score(text, {})
+            assert np.allclose([e["cosine"] for e in evidence], [s for s, _ in want])
+            assert {e["label"] for e in evidence} <= {0, 1} and all(e["label"] == rows[e["doc_id"]][2] for e in evidence)
+            vote = sum(e["cosine"] ** 2 * e["label"] for e in evidence) / sum(e["cosine"] ** 2 for e in evidence)
+            assert np.isclose(score, 1 / (1 + np.exp(-(model.fit[0] + model.fit[1] * vote))))
+
+
+def test_long_words_are_cut_where_no_piece_goes_across(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("aeioutrnsl中é0#") for _ in range(n)) for n in (50, 300, 900)]
+    whole = [SEGMENTER.encode(t) for t in texts]
+    monkeypatch.setattr(segmentation, "LONG", 16)
+    assert any(len(SEGMENTER.cut(t)) > 1 for t in texts)
+    for t, x in zip(texts, whole, strict=True):
+        assert "".join(SEGMENTER.cut(t)) == t
+        found = segmentation.Segmenter(segmentation.default_path(), 4).encode(t)
+        assert np.allclose([s for s, _ in found], [s for s, _ in x]) and all(SEGMENTER.decode(i) == t for _, i in found)
+
+
 def test_crc_of_ids():
     ids = ENCODER.encode(["a test"])[0]
     assert zlib.crc32(ids) == zlib.crc32(np.array(ENCODER.tokenizer.encode("a test").ids, "<u4").tobytes())
