@@ -14,7 +14,7 @@ from impactgraph.llm import toxicity as toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.7 by models learnt from the labelled ones among them."""
+    """Documents scored under 0.7 by models learnt from the labelled ones among them. Rows with equal texts get equal scores, so they stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxic.toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component; rows that share an id are told apart by their texts."""
+    """The document with the smallest doc_id of each near-duplicate component; rows that share an id are told apart by their texts. Rows that repeat an id and a text stay or go together."""
     kept = minhash.near_dedup(docs, text_hash="__hash").where("kept").select(F.col("doc_id").alias("__kept"), "__hash").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & minhash.hash_of("text").eqNullSafe(F.col("__hash")), "left_semi")
 
@@ -45,7 +45,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens. Repeated rows are documents of their own."""
     return packing.pack(docs).drop("ids")
 
 
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """All stages; each one's tables are deleted when its result is written."""
+    docs, began = common.documents(spark, sf_dir), common.staged_count()
     for name, stage in STAGES:
         docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.sweep(spark, began, (docs,))
     return docs
