@@ -105,7 +105,7 @@ def packed(df: DataFrame, text_col: str) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data = [None if t is None else pack.compress(t.encode()) for t in batch.column(text_col).to_pylist()]
+            data = [None if t is None else pack.compress(t) for t in utf8(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if n == text_col else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
     return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in df.schema.fields]))
@@ -156,40 +156,83 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
-_WORDS: dict[bytes, bytes] = {}
-_KEPT, _LONGEST, _BLOCK = 1 << 20, 64, 1 << 20
-
-
-def _digests(words: list[bytes]) -> bytes:
-    """16 bytes a word (BLAKE2b); those of short words are kept between calls, in a table of bounded size."""
-    digest = hashlib.blake2b
-    found = list(map(_WORDS.get, words))
-    if None in found:
-        if len(_WORDS) > _KEPT:
-            _WORDS.clear()
-        for i, x in enumerate(found):
-            if x is None:
-                found[i] = own = digest(words[i], digest_size=16).digest()
-                if len(words[i]) <= _LONGEST:
-                    _WORDS[words[i]] = own
-    return b"".join(found)
-
-
-def words_of(data: bytes, lower: bool = False) -> np.ndarray:
-    """128-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes: one row of two unsigned 64-bit halves a word.
-
-    The hash is cryptographic, so no texts are known whose different words agree. Long texts are split block by block.
+#: ASCII white space that separates words: space, and tab to carriage return.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_BLOCK, _STEPS = 1 << 22, 4
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 128-bit hashes of the words of one block."""
+    n = len(data)
+    raw = np.frombuffer(b" " + data + b" " * 8, dtype=np.uint8)
+    space = SPACES[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])  # before each word and at its end
+    starts, ends = edges[0::2], edges[1::2]
+    size = ends - starts
+    at = np.ndarray((n + 1,), dtype="<u8", buffer=raw, offset=1, strides=(1,))  # the eight bytes from each place on
+    part = at[starts] & _MASK[np.minimum(size, 8)]
+    length = size.astype(np.uint64)
+    a = mix(part + length * np.uint64(0xA24BAED4963EE407) + np.uint64(1))
+    b = mix((part ^ np.uint64(0x9FB21C651E98DF25)) + length * np.uint64(0xD6E8FEB86659FD93))
+    for step in range(1, _STEPS):
+        own = np.flatnonzero(size > 8 * step)
+        if not len(own):
+            break
+        part = at[starts[own] + 8 * step] & _MASK[np.minimum(size[own] - 8 * step, 8)]
+        a[own], b[own] = joint(a[own], part ^ b[own]), joint(b[own] + np.uint64(step), mix(part))
+    for i in np.flatnonzero(size > 8 * _STEPS).tolist():
+        a[i], b[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest(), "<u8")
+    return starts, np.stack((a, b), axis=1)
+
+
+def word_table(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 128-bit hashes (two unsigned 64-bit halves a row) of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes.
+
+    Eight bytes at a time go into both halves through a mixing that is a bijection and not linear, so words of up to eight bytes and one length never agree in a half
+    and regular longer ones do not either; words of more than 32 bytes get BLAKE2b. Long texts are split block by block.
     """
-    out, at = [], 0
+    data, starts, hashes, at = data.lower() if lower else data, [], [], 0
     while at < len(data):
         found = _CUT.search(data, at + _BLOCK)
         end = found.start() if found else len(data)
-        part = data[at:end]
-        words = (part.lower() if lower else part).split()
-        if words:
-            out.append(_digests(words))
+        own, h = _hashed(data[at:end])
+        starts.append(own + at)
+        hashes.append(h)
         at = end
-    return np.frombuffer(b"".join(out), dtype="<u8").reshape(-1, 2)
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.uint64))
+
+
+def words_of(data: bytes, lower: bool = False) -> np.ndarray:
+    """The hashes of a text's words."""
+    return word_table(data, lower)[1]
+
+
+def words_of_many(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of several texts, and where each text's words begin among them (one more entry than texts)."""
+    starts, hashes = word_table(b"\n".join(texts), lower)
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.searchsorted(starts, ends)
+
+
+def runs_of(sizes: list[int], limit: int = 1 << 21):
+    """Cuts rows into runs (from, to) whose sizes add up to about limit, so that work on a run has bounded memory."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def utf8(column) -> list[bytes | None]:
+    """The bytes of an Arrow string column."""
+    import pyarrow as pa
+
+    return column.cast(pa.binary()).to_pylist()
 
 
 def windows_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

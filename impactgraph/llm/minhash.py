@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, mix, packed, small_batches, staged, unpacked, windows_of, words_of
+from .common import discard, documents, mix, packed, runs_of, small_batches, staged, unpacked, utf8, windows_of, words_of, words_of_many
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 8
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -33,6 +33,17 @@ def shingle_set(text: str | bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(windows_of(hashes, min(size, len(hashes)), seed=0 if len(hashes) >= size else len(hashes)))
 
 
+def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
+    """shingle_set of each text; words and windows of all are hashed at once."""
+    hashes, starts = words_of_many(texts, lower=True)
+    hashes = hashes[:, 0]
+    windows, out = windows_of(hashes, size), []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        own = windows[a : b - size + 1] if b - a >= size else windows_of(hashes[a:b], b - a, seed=b - a) if b > a else hashes[:0]
+        out.append(np.unique(own))
+    return out
+
+
 def node_of(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits of the set (BLAKE2b) in two halves: the first names a class, the second tells classes of one name apart."""
     return struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
@@ -61,8 +72,8 @@ def hash_of(text_col: str):
 def _sets(batches):
     for batch in batches:
         n, nodes, twins, sigs, bands = [], [], [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text)
+        texts = [t or b"" for t in utf8(batch.column("text"))]
+        for s in (s for a, b in runs_of([len(t) for t in texts]) for s in shingle_sets(texts[a:b])):
             n.append(len(s))
             if not len(s):
                 for c in (nodes, twins, sigs, bands):

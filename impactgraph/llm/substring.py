@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, discard, documents, mix, small_batches, spare, staged, wide_windows, windows_of, words_of
+from .common import bucketed, discard, documents, mix, runs_of, small_batches, spare, staged, utf8, wide_windows, windows_of, words_of_many
 
 OUT = ("n_words", "n_removed", "kept_text")
 HOT = 1 << 17
@@ -34,12 +34,15 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def level(hashes: np.ndarray, size: int, length: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of windows of `length`, the least of them inside each size-window, and the positions that are some (alive) window's anchor."""
+def level(hashes: np.ndarray, size: int, length: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of windows of `length`, the least of them inside each size-window, and the positions that are some valid window's anchor.
+
+    hashes are those of the words of several texts in a row; valid marks the size-windows that lie in one text (and live).
+    """
     inner = windows_of(hashes, length)
     width = size - length + 1
     least = _least(inner, width)
-    low = least if alive is None else np.where(alive, least, np.uint64(0))
+    low = np.where(valid, least, np.uint64(0))
     pad = np.zeros(width - 1, dtype=np.uint64)
     high = ~_least(~np.concatenate((pad, low, pad)), width)
     return inner, least, np.flatnonzero((high == inner) & (inner > 0))
@@ -52,6 +55,12 @@ def survivors(inner: np.ndarray, least: np.ndarray, positions: np.ndarray, width
     return _least(only, width) == least
 
 
+def within(starts: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of `size` words lie in one text; starts are the texts' first words, and the number of words."""
+    ends = np.repeat(starts[1:], np.diff(starts))
+    return np.arange(max(0, len(ends) - size + 1)) + size <= ends[: max(0, len(ends) - size + 1)]
+
+
 def _unpack(z: bytes) -> bytes:
     import zstandard
 
@@ -64,9 +73,9 @@ def _packed(text: str, packed: str, null: str):
 
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data = [(t or "").encode() for t in batch.column(text).to_pylist()]
+            data = utf8(batch.column(text))
             names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([pack.compress(d) if d else None for d in data], pa.binary()), pa.array([t is None for t in batch.column(text).to_pylist()], pa.bool_())], [*names, packed, null])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([pack.compress(d) if d else None for d in data], pa.binary()), batch.column(text).is_null()], [*names, packed, null])
 
     return run
 
@@ -88,6 +97,12 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
+def _positions(batch, a: int, b: int, starts: np.ndarray) -> np.ndarray:
+    """The positions given for rows a to b, counted over the words of all of them."""
+    own = batch.column("positions").slice(a, b - a)
+    return own.flatten().to_numpy().astype(np.int64) + np.repeat(starts[:-1], own.value_lengths().to_numpy())
+
+
 def _anchor_rows(size: int, lengths: list[int], packed: bool):
     """Emits the anchors at lengths[-1] of the windows that lived through the levels before it (positions given for the last of those)."""
     length = lengths[-1]
@@ -98,20 +113,20 @@ def _anchor_rows(size: int, lengths: list[int], packed: bool):
             ids, _ = _ids(batch.column("id"))
             hs = batch.column("h").to_numpy()
             keys, owner, at = [], [], []
-            texts = batch.column("text").to_pylist()
-            before = batch.column("positions").to_pylist() if packed else [None] * len(texts)
-            for i, (t, p) in enumerate(zip(texts, before, strict=True)):
-                hashes = words_of(_unpack(t) if packed else (t or "").encode())[:, 0]
-                if len(hashes) < size:
+            texts = [_unpack(z) for z in batch.column("text").to_pylist()] if packed else [t or b"" for t in utf8(batch.column("text"))]
+            for a, b in runs_of([len(t) for t in texts]):
+                hashes, starts = words_of_many(texts[a:b])
+                hashes, valid = hashes[:, 0], within(starts, size)
+                if not len(valid):
                     continue
-                alive = None
                 if packed:
-                    inner, least, _ = level(hashes, size, lengths[-2])
-                    alive = survivors(inner, least, np.array(p), size - lengths[-2] + 1)
-                inner, _, chosen = level(hashes, size, length, alive)
+                    inner, least, _ = level(hashes, size, lengths[-2], valid)
+                    valid &= survivors(inner, least, _positions(batch, a, b, starts), size - lengths[-2] + 1)
+                inner, _, chosen = level(hashes, size, length, valid)
                 keys.append(inner[chosen])
-                owner.append(np.full(len(chosen), i))
-                at.append(chosen)
+                own = np.searchsorted(starts, chosen, side="right") - 1
+                owner.append(own + a)
+                at.append(chosen - starts[own])
             if not keys:
                 continue
             keys, owner, at = np.concatenate(keys).view(np.int64), np.concatenate(owner), np.concatenate(at)
@@ -136,14 +151,19 @@ def _mark_rows(size: int, length: int):
             ids, _ = _ids(batch.column("id"))
             hs = batch.column("h").to_numpy()
             k1, k2, owner, at = [], [], [], []
-            for i, (t, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist(), strict=True)):
-                hashes = words_of(_unpack(t))
-                inner, least, _ = level(hashes[:, 0], size, length)
-                starts = np.flatnonzero(survivors(inner, least, np.array(p), size - length + 1))
+            texts = [_unpack(z) for z in batch.column("text").to_pylist()]
+            for a, b in runs_of([len(t) for t in texts]):
+                hashes, starts = words_of_many(texts[a:b])
+                valid = within(starts, size)
+                if not len(valid):
+                    continue
+                inner, least, _ = level(hashes[:, 0], size, length, valid)
+                found = np.flatnonzero(valid & survivors(inner, least, _positions(batch, a, b, starts), size - length + 1))
                 for out, keys in zip((k1, k2), wide_windows(hashes, size), strict=True):
-                    out.append(keys[starts])
-                owner.append(np.full(len(starts), i))
-                at.append(starts)
+                    out.append(keys[found])
+                own = np.searchsorted(starts, found, side="right") - 1
+                owner.append(own + a)
+                at.append(found - starts[own])
             if not k1:
                 continue
             k1, k2, owner, at = np.concatenate(k1).view(np.int64), np.concatenate(k2).view(np.int64), np.concatenate(owner), np.concatenate(at)
@@ -201,7 +221,7 @@ def _remove(size: int, text: str, names: list[str], z: str, null: str, marks: st
                 data = _unpack(data) if data else b""
                 own = data.split()
                 gone = 0
-                texts.append(None if none else data.decode())
+                texts.append(None if none else data)
                 words.append(len(own))
                 if runs:
                     cover = np.zeros(len(own) + 1, dtype=np.int64)
@@ -212,8 +232,8 @@ def _remove(size: int, text: str, names: list[str], z: str, null: str, marks: st
                     gone = len(own) - int(stay.sum())
                     own = [w for w, s in zip(own, stay.tolist(), strict=True) if s]
                 removed.append(gone)
-                kept.append(b" ".join(own).decode())
-            cols = {n: batch.column(n) for n in names if n != text} | {text: pa.array(texts, pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
+                kept.append(b" ".join(own))
+            cols = {n: batch.column(n) for n in names if n != text} | {text: pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([cols[n] for n in (*names, *OUT)], [*names, *OUT])
 
     return run

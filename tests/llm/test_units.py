@@ -34,7 +34,6 @@ def test_long_texts_are_split_in_blocks(monkeypatch):
     words = [str(r.randrange(10**9)) * r.choice([1, 1, 40]) for _ in range(300)]
     whole = common.words_of(" ".join(words).encode())
     monkeypatch.setattr(common, "_BLOCK", 50)
-    monkeypatch.setattr(common, "_KEPT", 10)
     assert (common.words_of("\n ".join(words).encode()) == whole).all()
 
 
@@ -114,8 +113,8 @@ def brute_windows(docs, size):
 def test_anchors_lose_no_repeat(word_ids):
     """Equal windows have equal anchors at every level, so repeats survive."""
     hashes = common.words_of(" ".join(map(str, word_ids)).encode())[:, 0]
-    inner, least, chosen = substring.level(hashes, 4, 2)
     full = common.windows_of(hashes, 4)
+    inner, least, chosen = substring.level(hashes, 4, 2, np.ones(len(full), dtype=bool))
     for i in range(len(full)):
         assert any(inner[p] == least[i] for p in chosen if i <= p <= i + 2)
         for j in range(len(full)):
@@ -124,6 +123,19 @@ def test_anchors_lose_no_repeat(word_ids):
     assert substring.survivors(inner, least, chosen, 3).all()
 
 
+def test_many_texts_at_once_equal_one_by_one():
+    r = random.Random(4)
+    texts = [" ".join(str(r.randrange(50)) * r.randint(1, 12) for _ in range(r.choice([0, 1, 3, 4, 5, 30]))).encode() for _ in range(40)] + [b"", b" \n", b"x"]
+    hashes, starts = common.words_of_many(texts)
+    valid = substring.within(starts, 4)
+    for i, t in enumerate(texts):
+        own = common.words_of(t)
+        assert (hashes[starts[i] : starts[i + 1]] == own).all() and len(own) == len(t.split())
+        assert valid[starts[i] : starts[i + 1]].sum() == max(0, len(own) - 3)
+        assert (minhash.shingle_sets(texts)[i] == minhash.shingle_set(t)).all()
+    assert [(a, b) for a, b in common.runs_of([5, 5, 20, 1, 1], 10)] == [(0, 2), (2, 3), (3, 5)]
+
+
 def test_minhash_estimates():
     r = random.Random(5)
     a = [str(r.random()) for _ in range(400)]
