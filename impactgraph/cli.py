@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -13,6 +14,7 @@ from .functions import scalars as X
 from .plans import commands as C
 from .sources import repo as R
 
+# The words of `why` and of the reports, which users' scripts read.
 VERBS = {"calls": "called by", "reads": "read by", "contains": "contained in", "import_closes": "imported by"}
 
 
@@ -84,7 +86,7 @@ def run(spark: SparkSession, argv: list[str], out=None, err=None) -> int:
                 print(f"run all: {a.reason}", file=err if args.command == "select" else out)
             return 2
         if args.command == "changes":
-            rows = a.seeds.join(a.index.graph.defs, "def_id").join(a.index.graph.files, "file_id").select("def_id", "name", "path", a.seeds["kind"]).orderBy("def_id", "kind").collect()
+            rows = a.seeds.join(a.index.graph.defs, "def_id").join(a.index.graph.files, "file_id").select("def_id", "name", "path", a.seeds["kind"], "at").orderBy("at", "def_id", "kind").collect()
             if args.format == "json":
                 say({"version": 1, "mode": "selection", "seeds": [{"def": r["name"], "file": r["path"], "kind": r["kind"]} for r in rows], "stats": {"changed_files": a.changed, "seeds": len(rows)}})
             else:
@@ -98,10 +100,11 @@ def run(spark: SparkSession, argv: list[str], out=None, err=None) -> int:
                 for r in tests.select(X.command_line(F.col("file"), F.col("name"), F.col("lang"), F.col("computed")).alias("line")).where("line IS NOT NULL").distinct().orderBy("line").collect():
                     say(r["line"])
                 return 0
-            rows = tests.collect()
             if args.format == "json":
-                say({"version": 1, "mode": "selection", "tests": [{k: (list(r[k]) if k == "name" else r[k]) for k in ("file", "name", "runner", "lang", "computed")} for r in rows], "stats": {"total_known": total, "selected": len(rows), "seeds": n_seeds, "changed_files": a.changed}})
+                rows = [json.loads(r["test"]) for r in C.report(tests).collect()]
+                say({"version": 1, "mode": "selection", "tests": rows, "stats": {"total_known": total, "selected": len(rows), "seeds": n_seeds, "changed_files": a.changed}})
             else:
+                rows = tests.collect()
                 for r in rows:
                     say(f"{r['file']} :: {' > '.join(r['name'])}")
                 print(f"selected {len(rows)}/{total} tests ({n_seeds} seeds, {a.changed} changed files)", file=err)

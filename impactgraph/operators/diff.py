@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def diff_defs(old: DataFrame, new: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """(by..., ordinal, change): definitions of equal key pair in declaration order; leftovers are Added or Removed.
+    """(by..., ordinal, change, new_idx, old_idx, seen): definitions of equal key pair in declaration order; leftovers are Added or Removed.
 
     Both sides have the columns `by` (identity: file, kind, name chain), `order`, kind, sig_hash and body_hash (nullable). A changed signature is SigChanged even if the body
     changed too; module initialisers compare signatures only and give ModuleInitChanged. Equal pairs give no row. new_idx and old_idx are the
-    sides' local_idx where they have one.
+    sides' local_idx where they have one. `seen` orders changes as declarations are first seen: the new side's keys by their first place, then keys of the old side
+    alone, and within a key by ordinal.
     """
-    ordinal = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    key = Window.partitionBy(*by)
     idx = lambda df: F.col("local_idx") if "local_idx" in df.columns else F.lit(None).cast("int")
-    side = lambda df, s: df.withColumns({"ordinal": ordinal, "__idx": idx(df)}).select(*by, "ordinal", *[F.col(c).alias(f"{s}_{c}") for c in ("sig_hash", "body_hash")], F.col("__idx").alias(f"{s}_idx"), F.lit(True).alias(s), F.col("kind").alias(f"{s}_kind"))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        df = df.withColumns({"ordinal": F.row_number().over(key.orderBy(*order)), "__idx": idx(df)}).withColumn("__first", F.min("__idx").over(key))
+        kept = [F.col(c).alias(f"{s}_{c}") for c in ("sig_hash", "body_hash", "kind")]
+        return df.select(*by, "ordinal", *kept, F.col("__idx").alias(f"{s}_idx"), F.col("__first").alias(f"{s}_first"), F.lit(True).alias(s))
+
     both = side(old, "old").join(side(new, "new"), [*by, "ordinal"], "full")
     module = F.coalesce("new_kind", "old_kind") == "ModuleInit"
     change = (
@@ -24,7 +30,10 @@ def diff_defs(old: DataFrame, new: DataFrame, by: list[str], order: list[str]) -
         .when(~F.col("old_sig_hash").eqNullSafe(F.col("new_sig_hash")), F.when(module, "ModuleInitChanged").otherwise("SigChanged"))
         .when(~module & ~F.col("old_body_hash").eqNullSafe(F.col("new_body_hash")), "BodyChanged")
     )
-    return both.withColumn("change", change).where("change IS NOT NULL").select(*by, "ordinal", "change", "new_idx", "old_idx")
+    first = F.min("new_first").over(key)
+    seen = F.struct(first.isNull().alias("gone"), F.coalesce(first, F.min("old_first").over(key)).alias("first"), F.col("ordinal").alias("ordinal"))
+    both = both.withColumns({"change": change, "seen": seen})
+    return both.where("change IS NOT NULL").select(*by, "ordinal", "change", "new_idx", "old_idx", "seen")
 
 
 def seed_kind(change):
@@ -38,9 +47,9 @@ def scan_importers(imports_raw: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def all_changes(diffed: DataFrame, untracked: DataFrame) -> DataFrame:
-    """(path, status): changes between revisions, and untracked files as Added where the diff does not name them."""
-    fresh = untracked.select("path").distinct().join(diffed, "path", "left_anti").withColumn("status", F.lit("Added"))
-    return diffed.select("path", "status").unionByName(fresh)
+    """The rows of diffed (path, status, ...), and the untracked ones (path, ...) as Added where the diff does not name them."""
+    fresh = untracked.dropDuplicates(["path"]).join(diffed.select("path"), "path", "left_anti").withColumn("status", F.lit("Added"))
+    return diffed.unionByName(fresh, allowMissingColumns=True).select(*diffed.columns)
 
 
 def first_reason(changes: DataFrame, reason) -> DataFrame:

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
-from .closure import importer_closure
+from ..sources.staging import discard, staged
+from .closure import gathered, importer_closure
 from .graph import Graph
 
 #: Edge kinds in the order in which ties between equally short paths are broken.
@@ -62,8 +62,9 @@ def impact(graph: Graph, seeds: DataFrame) -> DataFrame:
         new = new.join(reduce(DataFrame.unionByName, parts).select(F.col("def_id").alias("to_def")), "to_def", "left_anti")
         front = staged(new.select(F.col("to_def").alias("def_id"), F.lit(depth).alias("depth"), F.col("how.from_def").alias("pred"), F.col("how.rank").alias("rank"), F.col("how.unknown_name").alias("unknown_name")), "walk")
         if front.isEmpty():
+            discard(front, edges, closure, modules, members)
             break
-        parts.append(front)
+        parts = gathered([*parts, front], "walk", keep=1)
     names = F.array(*[F.lit(e) for e in EDGES])
     return reduce(DataFrame.unionByName, parts).select("def_id", "depth", "pred", F.when(F.col("rank").isNotNull(), F.element_at(names, F.col("rank") + 1)).alias("edge"), "unknown_name")
 
@@ -83,11 +84,12 @@ def paths(visited: DataFrame, tests: DataFrame) -> DataFrame:
     open_ = staged(tests.select("def_id").distinct().join(visited.select("def_id"), "def_id", "left_semi").select("def_id", F.col("def_id").alias("at"), F.array().cast(f"array<{hop}>").alias("path")), "paths")
     done = []
     while True:
-        step = open_.join(back, "at")
-        ended = step.where("pred IS NULL").select("def_id", "path")
-        done.append(ended)
+        step = staged(open_.join(back, "at"), "paths")
+        done = gathered([*done, staged(step.where("pred IS NULL").select("def_id", "path"), "paths")], "paths")
         more = step.where("pred IS NOT NULL")
+        discard(open_)
         grown = F.concat(F.array(F.struct(F.col("pred").alias("from_def"), "edge", "unknown_name", F.col("at").alias("to_def")).cast(hop)), "path")
         open_ = staged(more.select("def_id", F.col("pred").alias("at"), grown.alias("path")), "paths")
+        discard(step)
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
+import uuid
 from contextlib import nullcontext
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -15,7 +17,7 @@ from ..operators import diff, resolve, walk
 from ..operators.graph import Graph
 from ..sources import repo as R
 from ..sources.lang import go as go_lang
-from ..sources.staging import staged
+from ..sources.staging import shared_dir, staged
 
 VERSION = 1
 SHIFT = 20  # def_id = file_id << SHIFT | local_idx
@@ -52,7 +54,14 @@ def load_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def save_snapshot(extracted: DataFrame, root: str) -> None:
-    extracted.coalesce(8).write.mode("overwrite").parquet(snapshot_path(root))
+    """Written beside the old one, which it then replaces by renaming, so a reader never sees half a snapshot."""
+    path = snapshot_path(root)
+    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    extracted.coalesce(8).write.parquet(fresh)
+    if os.path.exists(path):
+        os.rename(path, old)
+    os.rename(fresh, path)
+    shutil.rmtree(old, ignore_errors=True)
 
 
 @dataclass
@@ -96,13 +105,10 @@ def graph_of(spark: SparkSession, root: str, extracted: DataFrame, found: list[t
     go_mod = os.path.join(root, "go.mod")
     module = go_lang.module_prefix(open(go_mod, encoding="utf-8").read()) if os.path.exists(go_mod) else None
     roots = sorted({p.rpartition("/")[0] for p in catalog if p.rpartition("/")[2] in ("lib.rs", "main.rs")})
-    names = spark.sparkContext.broadcast(catalog)  # the repository's paths, as the driver's walk listed them
-
-    @F.udf("array<string>")
-    def targets(path, lang, raws):
-        return R.import_targets(path, lang, raws, names.value, module, roots)
-
-    hit = files.select("file_id", F.explode(targets("path", "lang", F.col("imports.raw"))).alias("resolved"))
+    raws = files.where(F.size("imports") > 0).select("file_id", "path", "lang", F.col("imports.raw").alias("raws"))
+    candidates = raws.mapInPandas(R.import_candidates(module, roots), "file_id long, ord int, priority int, candidate string")
+    there = spark.createDataFrame([(p,) for p in sorted(catalog)], "path string")  # the repository's paths, as the driver's walk listed them
+    hit = resolve.first_existing(candidates, there).select("file_id", "resolved")
     imports = staged(resolve.resolve_imports(hit, table), "imports")
     calls, reads = resolve.resolve_refs(refs, resolve.scopes(table, imports), defs)
     return Graph(table, defs, resolve.contains_edges(defs), imports, staged(calls, "calls"), staged(reads, "reads"))
@@ -117,117 +123,125 @@ class Analysis:
     reason: str = ""
 
 
-def classify(spark: SparkSession, repo: str, start: str, index: Index, changed: list[tuple[str, str, str | None]]) -> tuple[DataFrame | None, str]:
-    """Seeds of the changes, or None with the reason why every test has to run. Earlier changes give the reason first."""
-    graph, none = index.graph, spark.createDataFrame([], "def_id long, kind string")
-    if not changed:
-        return none, ""
-    listed = spark.createDataFrame([(i, *c) for i, c in enumerate(changed)], "ord int, path string, status string, old_path string")
-    config = listed.where(X.is_config_file(F.col("path")) | F.coalesce(X.is_config_file(F.col("old_path")), F.lit(False))).orderBy("ord").first()
-    if config is not None:
-        hit = config["path"]
-        return None, f"config file changed: {hit}"
+AT = "array<long>"  # where a seed is first found: the change's place, a phase, and places within it
+
+
+def _at(*parts) -> Column:
+    return F.array(*[F.lit(p).cast("long") if isinstance(p, int) else p.cast("long") for p in parts])
+
+
+def classify(spark: SparkSession, repo: str, start: str, index: Index, listed: DataFrame) -> tuple[DataFrame | None, str]:
+    """Seeds (def_id, kind, at) of the changes listed (ord, path, status, old_path), or None with the reason why every test has to run: a changed
+    configuration file, else the first change in order that cannot be traced. `at` orders seeds as they are found."""
+    graph, none = index.graph, spark.createDataFrame([], f"def_id long, kind string, at {AT}")
+    config = lambda c: F.when(X.is_config_file(F.col(c)), F.concat(F.lit("config file changed: "), F.col(c)))
+    found = diff.first_reason(listed, F.coalesce(config("path"), config("old_path"))).first()
+    if found is not None:
+        return None, found["reason"]
+    folder = X.parent_dir(F.col("path"))
+    here = listed.join(graph.files.select("path", "file_id"), "path", "left")
+    here = here.withColumns({"lang": X.language(F.col("path")), "needles": X.needles(F.col("path"))})
+    gone, go = F.col("status") == "Deleted", F.col("lang") == "go"
+    here = here.withColumn("needles", F.when(gone & go, F.array_union("needles", X.needles(folder))).when(gone | F.col("lang").isNull(), F.col("needles")))
+    here = staged(here, "changes")
+    untraced = F.when(gone & F.col("lang").isNotNull() & (F.size("needles") == 0), F.concat(F.lit("deleted file cannot be traced: "), "path"))
+    unknown = F.when(~gone & F.col("lang").isNotNull() & F.col("file_id").isNull(), F.concat(F.lit("changed file is not in the index: "), "path"))
+    diffed = here.where("status IN ('Modified', 'Renamed') AND lang IS NOT NULL AND file_id IS NOT NULL")
+    rows = diffed.select("ord", "path", "lang", "file_id", F.coalesce("old_path", "path").alias("old")).orderBy("ord").collect()  # changed files
+    try:
+        sources = R.show_files(repo, start, [r["old"] for r in rows]) if rows else {}
+    except R.GitError as e:
+        return None, f"{rows[0]['path']}: {e}"
+    known = [r for r in rows if sources[r["old"]] is not None]
+    before = staged(R.extractions(spark, [("", r["path"], r["lang"], sources[r["old"]]) for r in known]), "old")
+    errors = before.where("error IS NOT NULL").select("path", F.concat("path", F.lit(": "), "error").alias("broken"))
+    found = diff.first_reason(here.join(errors, "path", "left"), F.coalesce(untraced, unknown, F.col("broken"))).first()
+    if found is not None:
+        return None, found["reason"]
     modules = graph.defs.where("kind = 'ModuleInit'").select("file_id", "def_id")
-    needles, seeds, old_sources, new_paths = [], [none], [], []
-    known = {r["path"]: r["file_id"] for r in graph.files.join(listed.select("path").distinct(), "path", "left_semi").select("path", "file_id").collect()}  # changed paths only
-    for path, status, old in changed:
-        lang = R.language_of(path)
-        own = [n for n in dict.fromkeys([path.rpartition("/")[2], os.path.splitext(path.rpartition("/")[2])[0]]) if len(n) >= X.MIN_NEEDLE]
-        folder = path.rpartition("/")[0]
-        if status == "Deleted":
-            if lang == "go":
-                siblings = graph.files.where((F.col("dir") == folder) & (F.col("lang") == "go")).select("file_id")
-                seeds.append(modules.join(siblings, "file_id", "left_semi").select("def_id", F.lit("module_init").alias("kind")))
-                own += [n for n in [folder.rpartition("/")[2]] if len(n) >= X.MIN_NEEDLE and n not in own]
-            if lang and not own:
-                return None, f"deleted file cannot be traced: {path}"
-            needles += own
-        elif lang is None:
-            needles += own
-        elif path not in known:
-            return None, f"changed file is not in the index: {path}"
-        else:
-            try:
-                before = None if status == "Added" else R.show_file(repo, start, old or path)
-            except R.GitError as e:
-                return None, f"{path}: {e}"
-            new_paths.append((path, before is None))
-            if before is not None:
-                old_sources.append(("", path, lang, before))
-    added = [p for p, fresh in new_paths if fresh]
-    if added:
-        ids = spark.createDataFrame([(known[p],) for p in added], "file_id long")
-        seeds.append(graph.defs.where("kind IN ('TestCase', 'ModuleInit')").join(ids, "file_id", "left_semi").select("def_id", F.lit("added").alias("kind")))
-    if old_sources:
-        before = staged(R.extractions(spark, old_sources), "old")
-        bad = before.where("error IS NOT NULL").select("path", "error").first()
-        if bad is not None:
-            return None, f"{bad['path']}: {bad['error']}"
-        seeds.append(changed_seeds(spark, graph, before, {p: known[p] for _, p, _, _ in old_sources}))
-    if needles:
-        wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(needles)], "needle string")
-        raw = index.extracted.select("path", F.explode("imports.raw").alias("raw")).join(graph.files.select("path", "file_id"), "path")
-        seeds.append(modules.join(diff.scan_importers(raw, wanted), "file_id", "left_semi").select("def_id", F.lit("module_init").alias("kind")))
-    out = seeds[0]
-    for more in seeds[1:]:
-        out = out.unionByName(more)
-    return staged(out.dropDuplicates(["def_id", "kind"]), "seeds"), ""
-
-
-def changed_seeds(spark: SparkSession, graph: Graph, before: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """(def_id, kind) of files whose old and new definitions both are known."""
-    at = spark.createDataFrame([(p, i) for p, i in ids.items()], "path string, file_id long")
-    old = before.join(at, "path").select("file_id", F.posexplode("defs").alias("local_idx", "d")).select("file_id", "local_idx", *[F.col(f"d.{f}").alias(f) for f in DEF_FIELDS])
+    init = lambda files, *at: modules.join(files, "file_id").select("def_id", F.lit("module_init").alias("kind"), _at(*at).alias("at"))
+    siblings = resolve.same_directory(graph.files, here.where(gone & go))
+    siblings = graph.files.join(siblings, "file_id", "left_semi").select("file_id", "dir").join(here.where(gone & go).select("ord", folder.alias("dir")), "dir")
+    fresh = spark.createDataFrame([(r["ord"], r["file_id"]) for r in rows if sources[r["old"]] is None], "ord int, file_id long")  # nothing there before
+    fresh = fresh.unionByName(here.where("status = 'Added' AND lang IS NOT NULL").select("ord", "file_id"))
+    added = graph.defs.where("kind IN ('TestCase', 'ModuleInit')").join(fresh, "file_id")
+    added = added.select("def_id", F.lit("added").alias("kind"), _at(F.col("ord"), (F.col("kind") == "ModuleInit").cast("int"), F.col("local_idx")).alias("at"))
+    seeds = none.unionByName(init(siblings, F.col("ord"), F.col("file_id"))).unionByName(added)
+    seeds = seeds.unionByName(changed_seeds(graph, before, spark.createDataFrame([(r["path"], r["file_id"], r["ord"]) for r in known], "path string, file_id long, ord int")))
+    needles = here.select(F.explode("needles").alias("needle")).distinct()
+    raw = index.extracted.select("path", F.explode("imports.raw").alias("raw")).join(graph.files.select("path", "file_id"), "path")
+    seeds = seeds.unionByName(init(diff.scan_importers(raw, needles), 1 << 40, F.col("file_id")))
+    return staged(seeds.groupBy("def_id", "kind").agg(F.min("at").alias("at")), "seeds"), ""
+
+
+def changed_seeds(graph: Graph, before: DataFrame, at: DataFrame) -> DataFrame:
+    """(def_id, kind, at) of files (path, file_id, ord) whose old and new definitions both are known."""
+    old = before.join(at.select("path", "file_id"), "path").select("file_id", F.posexplode("defs").alias("local_idx", "d")).select("file_id", "local_idx", *[F.col(f"d.{f}").alias(f) for f in DEF_FIELDS])
     new = graph.defs.join(at.select("file_id"), "file_id", "left_semi")
     keyed = lambda df: df.withColumns({"k": F.col("kind"), "chain": X.test_name(F.col("test_id"), F.col("name"))})
     found = diff.diff_defs(keyed(old), keyed(new), ["file_id", "k", "chain"], ["local_idx"]).withColumn("kind", diff.seed_kind(F.col("change")))
     idx = F.when(F.col("kind") == "module_init", F.lit(0)).otherwise(F.col("new_idx"))
-    return found.select((F.shiftleft("file_id", SHIFT) + idx).alias("def_id"), "kind").distinct()
+    found = found.withColumn("def_id", F.shiftleft("file_id", SHIFT) + idx).join(at.select("file_id", "ord"), "file_id")
+    return found.select("def_id", "kind", _at(F.col("ord"), F.col("seen.gone").cast("int"), F.col("seen.first"), F.col("seen.ordinal")).alias("at"))
 
 
 def analyze(spark: SparkSession, repo: str, start: str, end: str | None = None) -> Analysis:
     """Indexes the tree (or revision `end`) and classifies the changes since `start`; the snapshot is saved after changes are listed."""
     try:
-        holder = R.snapshot(repo, end) if end else nullcontext(repo)
+        holder = R.snapshot(repo, end, shared_dir(spark)) if end else nullcontext(repo)
         with holder as root:
             config = R.load_config(root)
             index = build_index(spark, root, None if end else load_snapshot(spark, root), config.ignore)
             try:
-                changed = R.changed_files(repo, start, end)
+                diffed, extra = R.diffed_files(repo, start, end), [] if end else R.untracked_files(repo)
             except R.GitError as e:
                 return Analysis(index, config, 0, None, f"changes cannot be listed: {e}")
-            kept = [c for c in changed if not R.ignored(c[0], config.ignore)]
-            seeds, reason = classify(spark, repo, start, index, kept)
+            listed = spark.createDataFrame([(i, *c) for i, c in enumerate(diffed)], "ord int, path string, status string, old_path string")
+            listed = staged(diff.all_changes(listed, spark.createDataFrame([(len(diffed) + i, p) for i, p in enumerate(extra)], "ord int, path string")), "listed")
+            seeds, reason = classify(spark, repo, start, index, listed.where(X.first_glob(F.col("path"), list(config.ignore)).isNull()))
             if not end:
                 save_snapshot(index.extracted, root)
-            return Analysis(index, config, len(changed), seeds, reason)
+            return Analysis(index, config, listed.count(), seeds, reason)
     except R.GitError as e:
         empty = spark.createDataFrame([], R.EXTRACTION)
         return Analysis(Index(graph_of(spark, repo, empty, [], set()), empty, 0, 0), R.Config(), 0, None, f"revision cannot be read: {e}")
 
 
 def tests_of(graph: Graph) -> DataFrame:
-    tests = graph.defs.where("kind = 'TestCase'").join(graph.files.select("file_id", "path", "lang"), "file_id")
-    return tests.select("def_id", F.col("path").alias("file"), X.test_name(F.col("test_id"), F.col("name")).alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", F.col("computed_name").alias("computed"))
+    """(def_id, file, name, runner, lang, computed) of all test cases."""
+    own = lambda c, kind: F.col(c) if c in graph.defs.columns else F.lit(None).cast(kind)
+    tests = graph.defs.where("kind = 'TestCase'").withColumns({"test_id": own("test_id", "array<string>"), "computed": F.coalesce(own("computed_name", "boolean"), F.lit(False))})
+    tests = tests.join(graph.files.select("file_id", "path", "lang"), "file_id")
+    return tests.select("def_id", F.col("path").alias("file"), X.test_name(F.col("test_id"), F.col("name")).alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", "computed")
+
+
+def report(tests: DataFrame) -> DataFrame:
+    """(test): each test's line of the JSON report."""
+    return tests.select(F.to_json(F.struct("file", "name", "runner", "lang", "computed")).alias("test"))
+
+
+def selected(graph: Graph, seeds: DataFrame, always_run: list[str]) -> DataFrame:
+    """The selected tests of tests_of: walked ones and those that an always-run glob matches, as one set."""
+    tests = tests_of(graph)
+    always = tests.where(X.first_glob(F.col("file"), always_run).isNotNull()).select("def_id")
+    return tests.join(walk.impacted_tests(graph, seeds).union(always).distinct(), "def_id", "left_semi")
+
+
+def explained(graph: Graph, seeds: DataFrame, always_run: list[str], query: str) -> DataFrame:
+    """(def_id, file, name, match_str, always_run_glob, path) of the selected tests whose `file :: name` holds the query; paths are resolved for these alone."""
+    tests = tests_of(graph).withColumn("match_str", F.concat(F.col("file"), F.lit(" :: "), F.array_join("name", " > ")))
+    tests = tests.where(F.contains("match_str", F.lit(query))).withColumn("glob", X.first_glob(F.col("file"), always_run))
+    found = walk.paths(walk.impact(graph, seeds), tests)
+    out = tests.join(found, "def_id", "left").where("path IS NOT NULL OR glob IS NOT NULL")
+    return out.select("def_id", "file", "name", "match_str", F.when(F.col("path").isNull(), F.col("glob")).alias("always_run_glob"), F.coalesce("path", F.array().cast(found.schema["path"].dataType)).alias("path"))
 
 
 def select(a: Analysis) -> DataFrame:
-    """(def_id, file, name, runner, lang, computed) of the selected tests: walked ones and those that an always-run glob matches."""
-    tests = tests_of(a.index.graph)
-    chosen = walk.impacted_tests(a.index.graph, a.seeds)
-    always = tests.where(X.first_glob(F.col("file"), list(a.config.always_run)).isNotNull()).select("def_id")
-    return tests.join(chosen.union(always).distinct(), "def_id", "left_semi").orderBy("def_id")
+    return selected(a.index.graph, a.seeds, list(a.config.always_run)).orderBy(X.path_order(F.col("file")), "def_id")
 
 
 def why(a: Analysis, query: str) -> DataFrame:
-    """(def_id, file, name, match_str, always_run_glob, path) of the selected tests whose `file :: name` holds the query; the path is resolved for these alone."""
-    g = a.index.graph
-    tests = tests_of(g).withColumn("match_str", F.concat(F.col("file"), F.lit(" :: "), F.array_join("name", " > ")))
-    tests = tests.where(F.contains("match_str", F.lit(query))).withColumn("glob", X.first_glob(F.col("file"), list(a.config.always_run)))
-    visited = walk.impact(g, a.seeds)
-    found = walk.paths(visited, tests)
-    out = tests.join(found, "def_id", "left").where("path IS NOT NULL OR glob IS NOT NULL")
-    return out.select("def_id", "file", "name", "match_str", F.when(F.col("path").isNull(), F.col("glob")).alias("always_run_glob"), F.coalesce("path", F.array().cast(found.schema["path"].dataType)).alias("path")).orderBy("def_id")
+    return explained(a.index.graph, a.seeds, list(a.config.always_run), query).orderBy("def_id")
 
 
 def index_report(spark: SparkSession, root: str, full: bool = False) -> dict:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import json
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import closure, diff, resolve, walk
+from ..sources import repo as R
+from ..sources.staging import staged
+from . import commands
 from . import derived as D
+from . import samples as S
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,7 +43,7 @@ for _name in D.SEEDS:
         g = D.derived(spark, sf_dir)
         return walk.impact(g, D.seeds(spark, name)).join(g.defs, "def_id").join(g.files, "file_id").select("def_id", "kind", "name", "path")
 
-    @query(f"impact_depth_{_name}", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhop AS (SELECT def_id, 0 AS h FROM defs WHERE def_id IN ({_ids(_name)}) UNION SELECT r.dst, hop.h + 1 FROM hop JOIN rev r ON r.src = hop.def_id WHERE hop.h < 15)\nSELECT def_id, cast(min(h) AS integer) AS depth FROM hop GROUP BY def_id")
+    @query(f"impact_depth_{_name}", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhop AS (SELECT def_id, 0 AS h FROM defs WHERE def_id IN ({_ids(_name)}) UNION SELECT r.dst, hop.h + 1 FROM hop JOIN rev r ON r.src = hop.def_id WHERE hop.h < 64)\nSELECT def_id, cast(min(h) AS integer) AS depth FROM hop GROUP BY def_id")
     def impact_depth(spark, sf_dir, name=_name):
         return walk.impact(D.derived(spark, sf_dir), D.seeds(spark, name)).select("def_id", "depth")
 
@@ -43,31 +52,40 @@ for _name in D.SEEDS:
 def selected_tests(spark, sf_dir):
     """Walk and always-run tests as one set, with their display columns."""
     g = D.derived(spark, sf_dir)
-    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id")
-    always = tests.where(X.first_glob(F.col("path"), ["src/NATION_1*/*"]).isNotNull()).select("def_id")
-    chosen = walk.impacted_tests(g, D.seeds(spark, "widen")).union(always).distinct()
-    return tests.join(chosen, "def_id", "left_semi").select("def_id", F.col("path").alias("file"), "name", "lang", X.runner(F.col("lang")).alias("runner"))
-
-
-@query("why_paths")
+    return commands.selected(g, D.seeds(spark, "widen"), ["src/NATION_1*/*"]).select("def_id", "file", F.element_at("name", 1).alias("name"), "lang", "runner")
+
+
+#: Each impacted definition's fewest hops and first predecessor: of the edges from the round before, the least (kind, id, name).
+HOPS = f"""{D.REVERSE},
+hop AS (SELECT def_id, 0 AS h FROM defs WHERE def_id IN ({_ids('small')}) UNION SELECT r.dst, hop.h + 1 FROM hop JOIN rev r ON r.src = hop.def_id WHERE hop.h < (SELECT count(*) FROM defs) AND hop.h < 64),
+depth AS (SELECT def_id, min(h) AS h FROM hop GROUP BY def_id),
+kinds AS (
+  SELECT to_def AS src, from_def AS dst, 0 AS rank, NULL AS name FROM known_calls UNION SELECT to_def, from_def, 1, NULL FROM reads
+  UNION SELECT c.child, c.parent, 2, NULL FROM contains c JOIN defs d ON d.def_id = c.parent WHERE d.kind <> 'ModuleInit'
+  UNION SELECT d.def_id, u.from_def, 3, u.unknown_name FROM defs d JOIN unknown_calls u ON u.unknown_name = d.short_name JOIN defs f ON f.def_id = u.from_def JOIN closure c ON c.root = d.file_id AND c.member = f.file_id
+  UNION SELECT m.def_id, t.def_id, 4, NULL FROM defs m JOIN closure c ON c.root = m.file_id JOIN defs t ON t.file_id = c.member WHERE m.kind = 'ModuleInit' AND t.kind IN ('ModuleInit', 'TestCase') AND t.def_id <> m.def_id),
+first AS (
+  SELECT b.def_id, k.src AS pred, k.rank, k.name, row_number() OVER (PARTITION BY b.def_id ORDER BY k.rank, k.src, k.name NULLS FIRST) AS n
+  FROM kinds k JOIN depth a ON a.def_id = k.src JOIN depth b ON b.def_id = k.dst AND b.h = a.h + 1),
+line AS (
+  SELECT d.def_id, 0 AS hops, d.def_id AS at, '' AS path FROM defs d JOIN depth USING (def_id) WHERE d.kind = 'TestCase'
+  UNION ALL SELECT l.def_id, l.hops + 1, f.pred, concat('{{"from_def":', f.pred, ',"edge":"', CASE f.rank WHEN 0 THEN 'calls' WHEN 1 THEN 'reads' WHEN 2 THEN 'contains' WHEN 3 THEN 'unknown_name' ELSE 'import_closes' END, '"',
+    CASE WHEN f.name IS NULL THEN '' ELSE concat(',"unknown_name":"', f.name, '"') END, ',"to_def":', l.at, '}}', CASE WHEN l.path = '' THEN '' ELSE concat(',', l.path) END)
+  FROM line l JOIN first f ON f.def_id = l.at AND f.n = 1)"""
+
+
+@query("why_paths", f"WITH RECURSIVE {D.WITH},\n{HOPS}\nSELECT l.def_id, cast(l.hops AS integer) AS hops, concat('[', l.path, ']') AS path FROM line l JOIN depth d ON d.def_id = l.def_id AND d.h = l.hops JOIN defs t ON t.def_id = l.def_id JOIN files f USING (file_id) WHERE contains(concat(f.path, ' :: ', t.name), 'test 1')")
 def why_paths(spark, sf_dir):
     """Hop paths of the impacted tests that a query text matches; the text filter runs before any path is followed."""
-    g = D.derived(spark, sf_dir)
-    visited = walk.impact(g, D.seeds(spark, "small"))
-    match = F.concat_ws(" :: ", "path", "name").contains("test 1")
-    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id").where(match)
-    return walk.paths(visited, tests).select("def_id", F.size("path").alias("hops"), F.to_json("path").alias("path"))
+    found = commands.explained(D.derived(spark, sf_dir), D.seeds(spark, "small"), [], "test 1")
+    return found.select("def_id", F.size("path").alias("hops"), F.to_json("path").alias("path"))
 
 
 @query("why_candidates", f"WITH RECURSIVE {D.WITH},\n{D.REVERSE},\nhit AS (SELECT def_id FROM defs WHERE def_id IN ({_ids('small')}) UNION SELECT r.dst FROM hit h JOIN rev r ON r.src = h.def_id)\nSELECT d.def_id, concat(f.path, ' :: ', d.name) AS match_str, CASE WHEN d.def_id IN (SELECT def_id FROM hit) THEN NULL WHEN regexp_matches(f.path, '^src/NATION_1.*/.*$') THEN 'src/NATION_1*/**' ELSE 'src/NATION_2*/**' END AS always_run_glob FROM defs d JOIN files f ON f.file_id = d.file_id WHERE d.kind = 'TestCase' AND contains(concat(f.path, ' :: ', d.name), '7') AND (d.def_id IN (SELECT def_id FROM hit) OR regexp_matches(f.path, '^src/NATION_[12].*/.*$'))")
 def why_candidates(spark, sf_dir):
     """Tests by walk or by pattern; the walk explains first, patterns in declared order."""
-    g = D.derived(spark, sf_dir)
-    tests = g.defs.where("kind = 'TestCase'").join(g.files, "file_id").withColumn("match_str", F.concat_ws(" :: ", "path", "name")).where(F.contains("match_str", F.lit("7")))
-    always = tests.select("def_id", X.first_glob(F.col("path"), ["src/NATION_1*/**", "src/NATION_2*/**"]).alias("glob")).where("glob IS NOT NULL")
-    reached = walk.impacted_tests(g, D.seeds(spark, "small")).withColumn("walked", F.lit(True))
-    both = reached.join(always, "def_id", "full").join(tests.select("def_id", "match_str"), "def_id")
-    return both.select("def_id", "match_str", F.when(F.col("walked").isNull(), F.col("glob")).alias("always_run_glob"))
+    found = commands.explained(D.derived(spark, sf_dir), D.seeds(spark, "small"), ["src/NATION_1*/**", "src/NATION_2*/**"], "7")
+    return found.select("def_id", "match_str", "always_run_glob")
 
 
 CLOSURE = f"WITH RECURSIVE {D.WITH},\nclosure AS (SELECT file_id AS root, file_id AS member FROM files UNION SELECT c.root, i.from_file FROM closure c JOIN imports i ON i.to_file = c.member)"
@@ -79,34 +97,23 @@ def importer_closure(spark, sf_dir):
     return closure.importer_closure(g.imports, g.files.select(F.col("file_id").alias("root")))
 
 
-@query("import_reachable", f"WITH RECURSIVE {D.WITH},\nreach AS (SELECT file_id AS from_file, file_id AS to_file FROM files WHERE file_id % 3 = 0 UNION SELECT r.from_file, i.to_file FROM reach r JOIN imports i ON i.from_file = r.to_file)\nSELECT from_file, to_file FROM reach")
+@query("import_reachable", f"WITH RECURSIVE {D.WITH},\nreach AS (SELECT file_id AS from_file, file_id AS to_file FROM files UNION SELECT r.from_file, i.to_file FROM reach r JOIN imports i ON i.from_file = r.to_file)\nSELECT from_file, to_file FROM reach")
 def import_reachable(spark, sf_dir):
+    """What each file reaches by imports."""
     g = D.derived(spark, sf_dir)
-    return _reachable(g, g.files.where("file_id % 3 = 0"))
-
-
-@query("import_reachable_all")
-def import_reachable_all(spark, sf_dir):
-    """What each file reaches by imports; import_reachable starts at every third file, which is what its SQL states."""
-    g = D.derived(spark, sf_dir)
-    return _reachable(g, g.files)
-
-
-def _reachable(g, roots: DataFrame) -> DataFrame:
     edges = g.imports.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst"))
-    return closure.reachable_pairs(edges, roots.select(F.col("file_id").alias("root"))).select(F.col("root").alias("from_file"), F.col("member").alias("to_file"))
+    return closure.reachable_pairs(edges, g.files.select(F.col("file_id").alias("root"))).select(F.col("root").alias("from_file"), F.col("member").alias("to_file"))
 
 
 REFS = "SELECT DISTINCT o_custkey % (SELECT count(*) FROM supplier) AS file_id, 2000000 + l_orderkey AS from_def, 'call' AS ref_kind, p_name AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
-SCOPE = "scope AS (SELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports)"
+SCOPE = "scope AS (SELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports UNION SELECT a.file_id, b.file_id FROM files a JOIN files b ON a.dir = b.dir WHERE a.lang = 'go')"
 FOUND = f"refs AS ({REFS}),\n{SCOPE},\nfound AS (SELECT DISTINCT r.from_def, d.def_id AS to_def, r.name FROM refs r JOIN scope s USING (file_id) JOIN defs d ON d.file_id = s.target_file AND d.short_name = r.name WHERE d.kind <> 'ModuleInit' AND d.def_id <> r.from_def)"
 
 
-def _resolved(spark, sf_dir, lang: str | None = "ts") -> DataFrame:
-    """Calls of REFS by the scopes of the files' own languages, or by those of one language, which is what the SQL of the first two queries states."""
+def _resolved(spark, sf_dir) -> DataFrame:
+    """Calls of REFS by the scopes of the files' own languages."""
     g = D.derived(spark, sf_dir)
-    files = g.files if lang is None else g.files.withColumn("lang", F.lit(lang))
-    return resolve.resolve_refs(spark.sql(REFS), resolve.scopes(files, g.imports), g.defs)[0]
+    return resolve.resolve_refs(spark.sql(REFS), resolve.scopes(g.files, g.imports), g.defs)[0]
 
 
 @query("resolve_refs", f"WITH {D.WITH},\n{FOUND}\nSELECT DISTINCT from_def, to_def FROM found")
@@ -119,18 +126,7 @@ def unknown_calls(spark, sf_dir):
     return _resolved(spark, sf_dir).where("unknown_name IS NOT NULL").select("from_def", "unknown_name")
 
 
-@query("resolve_refs_all")
-def resolve_refs_all(spark, sf_dir):
-    """Resolved edges with the scope of each file's own language, so Go files see their directory."""
-    return _resolved(spark, sf_dir, None).where("to_def IS NOT NULL").select("from_def", "to_def")
-
-
-@query("unknown_calls_all")
-def unknown_calls_all(spark, sf_dir):
-    return _resolved(spark, sf_dir, None).where("unknown_name IS NOT NULL").select("from_def", "unknown_name")
-
-
-@query("go_scopes", f"WITH {D.WITH}\nSELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports UNION SELECT a.file_id, b.file_id FROM files a JOIN files b ON a.dir = b.dir WHERE a.lang = 'go' AND b.lang = 'go'")
+@query("go_scopes", f"WITH {D.WITH}\nSELECT file_id, file_id AS target_file FROM files UNION SELECT from_file, to_file FROM imports UNION SELECT a.file_id, b.file_id FROM files a JOIN files b ON a.dir = b.dir WHERE a.lang = 'go'")
 def go_scopes(spark, sf_dir):
     g = D.derived(spark, sf_dir)
     return resolve.scopes(g.files, g.imports)
@@ -208,9 +204,7 @@ def reuse_counts(spark, sf_dir):
 
 @query("graph_stats", f"WITH {D.WITH}\nSELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM defs) AS defs, (SELECT count(*) FROM defs WHERE kind = 'TestCase') AS tests, (SELECT count(*) FROM known_calls) + (SELECT count(*) FROM unknown_calls) AS calls, (SELECT count(*) FROM reads) AS reads, (SELECT count(*) FROM unknown_calls) AS unresolved, (SELECT count(*) FROM imports) AS imports, (SELECT count(*) FROM contains) AS contains")
 def graph_stats(spark, sf_dir):
-    from .commands import stats
-
-    return stats(D.derived(spark, sf_dir))
+    return commands.stats(D.derived(spark, sf_dir))
 
 
 @query("tests_by_file", f"WITH {D.WITH}\nSELECT f.path, count(*) AS tests FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase' GROUP BY f.path")
@@ -276,10 +270,10 @@ def ref_dedup(spark, sf_dir):
     return resolve.dedup_refs(spark.sql(SOURCE_REFS), ["line", "place"]).drop("place")
 
 
-@query("go_deletion_siblings", f"WITH {D.WITH}\nSELECT file_id FROM files WHERE lang = 'go' AND dir IN (SELECT dir FROM files WHERE file_id % 9 = 4)")
+@query("go_deletion_siblings", f"WITH {D.WITH}\nSELECT file_id FROM files WHERE dir IN (SELECT dir FROM files WHERE lang = 'go' AND file_id % 9 = 4)")
 def go_deletion_siblings(spark, sf_dir):
     g = D.derived(spark, sf_dir)
-    return resolve.same_directory(g.files, g.files.where("file_id % 9 = 4"), "go")
+    return resolve.same_directory(g.files, g.files.where("lang = 'go' AND file_id % 9 = 4"))
 
 
 @query("change_union", "SELECT p_name || cast(p_partkey AS varchar(9)) AS path, CASE WHEN p_partkey % 3 = 0 THEN 'Modified' ELSE 'Added' END AS status FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
@@ -294,21 +288,23 @@ def first_run_all_reason(spark, sf_dir):
     return diff.first_reason(s, F.when(X.is_config_file(F.col("path")), F.concat(F.lit("config file changed: "), "path")))
 
 
-@query("select_report", f"WITH {D.WITH}\nSELECT concat('{{\"file\":\"', f.path, '\",\"name\":[\"', d.name, '\"],\"runner\":\"', CASE f.lang WHEN 'ts' THEN 'vitest' WHEN 'go' THEN 'gotest' ELSE 'cargo' END, '\",\"lang\":\"', f.lang, '\",\"computed\":false}}') AS test FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase' AND d.def_id % 5 = 0")
+@query("select_report", f"WITH {D.WITH}\nSELECT concat('{{\"file\":\"', f.path, '\",\"name\":[\"', d.name, '\"],\"runner\":\"', CASE f.lang WHEN 'ts' THEN 'vitest' WHEN 'go' THEN 'gotest' ELSE 'cargo' END, '\",\"lang\":\"', f.lang, '\",\"computed\":false}}') AS test FROM defs d JOIN files f USING (file_id) WHERE d.kind = 'TestCase'")
 def select_report(spark, sf_dir):
-    return _report(D.derived(spark, sf_dir), "kind = 'TestCase' AND def_id % 5 = 0")
+    """The report's line of every test."""
+    return commands.report(commands.tests_of(D.derived(spark, sf_dir)))
 
 
-def _report(g, tests: str) -> DataFrame:
-    t = g.defs.where(tests).join(g.files, "file_id")
-    name = X.test_name(F.lit(None).cast("array<string>"), F.col("name"))
-    return t.select(F.to_json(F.struct(F.col("path").alias("file"), name.alias("name"), X.runner(F.col("lang")).alias("runner"), "lang", F.lit(False).alias("computed"))).alias("test"))
-
-
-@query("select_report_all")
-def select_report_all(spark, sf_dir):
-    """The report's line of every test; select_report has every fifth, which is what its SQL states."""
-    return _report(D.derived(spark, sf_dir), "kind = 'TestCase'")
+@query("changes_in_order", f"""{DIFFED},
+p AS (SELECT file_id, l_returnflag, l_linestatus, min(place) FILTER (new) AS new_first, min(place) FILTER (NOT new) AS old_first FROM (
+  SELECT file_id, l_returnflag, l_linestatus, false AS new, row_number() OVER (PARTITION BY file_id ORDER BY {', '.join(DIFF_ORDER)}) AS place FROM ({VERSION}0) UNION ALL
+  SELECT file_id, l_returnflag, l_linestatus, true, row_number() OVER (PARTITION BY file_id ORDER BY {', '.join(DIFF_ORDER)}) FROM ({VERSION}1)) GROUP BY ALL)
+SELECT file_id, change, row_number() OVER (PARTITION BY file_id ORDER BY new_first IS NULL, coalesce(new_first, old_first), ordinal) AS place FROM d JOIN p USING (file_id, l_returnflag, l_linestatus) WHERE change IS NOT NULL""")
+def changes_in_order(spark, sf_dir):
+    """Definition changes of each file in the order in which declarations are first seen."""
+    D.tables(spark, sf_dir, ("lineitem",))
+    placed = lambda sql: spark.sql(sql).withColumn("local_idx", F.row_number().over(Window.partitionBy("file_id").orderBy(*DIFF_ORDER)))
+    d = diff.diff_defs(placed(VERSION + "0"), placed(VERSION + "1"), DIFF_KEY, DIFF_ORDER)
+    return d.select("file_id", "change", F.row_number().over(Window.partitionBy("file_id").orderBy("seen")).cast("long").alias("place"))
 
 
 @query("quote_args", f"SELECT p_partkey, {QUOTE.format('p_name')} AS quoted, {QUOTE.format('p_brand')} AS brand, {QUOTE.format('cast(p_partkey AS varchar(9))')} AS bare, {GO_ESCAPE.format('concat(p_name, chr(36), p_brand, chr(46))')} AS pattern FROM part")
@@ -323,3 +319,109 @@ def edge_counts(spark, sf_dir):
     g = D.derived(spark, sf_dir)
     by = g.calls.join(g.defs.select(F.col("def_id").alias("from_def"), "kind"), "from_def").groupBy("kind").agg(F.count("to_def").alias("calls"), F.count("unknown_name").alias("unresolved"))
     return g.defs.select("kind").distinct().join(by, "kind", "left").select("kind", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """Literal rows as SQL; columns are `name type` pairs."""
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    names = [c.split() for c in columns.split(", ")]
+    body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+    return f"SELECT {', '.join(f'cast({n} AS {t}) AS {n}' for n, t in names)} FROM (VALUES {body}) AS t({', '.join(n for n, _ in names)})"
+
+
+def _extracted(spark) -> DataFrame:
+    """The sample trees through the extraction that indexing runs."""
+    files = [("", path, lang, source.encode()) for lang, tree in S.TREES.items() for path, source in tree.items()]
+    return staged(R.extractions(spark, files), "samples")
+
+
+@query("source_defs", _values(S.DEFS, "path varchar, place integer, name varchar, kind varchar, test_id varchar, computed boolean, parent integer, line integer, has_body boolean"))
+def source_defs(spark, sf_dir):
+    """Definitions and tests of the sample sources in TypeScript, Go and Rust."""
+    d = _extracted(spark).select("path", F.posexplode("defs").alias("place", "d"))
+    return d.select("path", "place", "d.name", "d.kind", F.array_join("d.test_id", "|").alias("test_id"), F.col("d.computed_name").alias("computed"), F.col("d.parent_idx").alias("parent"), F.col("d.start_line").alias("line"), F.col("d.body_hash").isNotNull().alias("has_body"))
+
+
+@query("source_imports", _values(S.IMPORTS, "path varchar, raw varchar, line integer"))
+def source_imports(spark, sf_dir):
+    return _extracted(spark).select("path", F.explode("imports").alias("i")).select("path", "i.raw", "i.line")
+
+
+@query("source_refs", _values(S.REFS, "path varchar, from_idx integer, ref_kind varchar, name varchar, qualifier varchar"))
+def source_refs(spark, sf_dir):
+    """Calls and reads of the sample sources, each once."""
+    return _extracted(spark).select("path", F.explode("refs").alias("r")).select("path", "r.from_idx", "r.ref_kind", "r.name", "r.qualifier")
+
+
+@query("source_targets", _values([(a, b, c, d) for a, b, c, d in S.TARGETS], "lang varchar, path varchar, raw varchar, target varchar"))
+def source_targets(spark, sf_dir):
+    """Where imports lead: candidates in order, the first that exists."""
+    rows = spark.createDataFrame([(i, p, lang, [raw]) for i, (lang, p, raw, _) in enumerate(S.TARGETS)], "file_id long, path string, lang string, raws array<string>")
+    hits = rows.mapInPandas(R.import_candidates("example.org/port", ["src"]), "file_id long, ord int, priority int, candidate string")
+    hits = resolve.first_existing(hits, spark.createDataFrame([(p,) for p in S.TREE_PATHS], "path string"))
+    return rows.join(hits, "file_id", "left").select("lang", "path", F.element_at("raws", 1).alias("raw"), F.col("resolved").alias("target"))
+
+
+@query("source_edits", _values([(i, w) for i, (*_, w) in enumerate(S.EDITS)], "edit integer, changed varchar"))
+def source_edits(spark, sf_dir):
+    """Which definitions an edit changes, in signature or body: comments and formatting none, loose code the initialiser."""
+    files = [("", f"{i}/{side}", lang, (S.TREES[lang][path].replace(old, new) if side == "new" else S.TREES[lang][path]).encode()) for i, (lang, path, old, new, _) in enumerate(S.EDITS) for side in ("old", "new")]
+    d = staged(R.extractions(spark, files), "edits").select(F.split("path", "/").alias("p"), F.posexplode("defs").alias("local_idx", "d"))
+    d = d.select(F.element_at("p", 1).cast("int").alias("edit"), F.element_at("p", 2).alias("side"), "local_idx", "d.*")
+    found = diff.diff_defs(d.where("side = 'old'"), d.where("side = 'new'"), ["edit", "kind", "name"], ["local_idx"])
+    kind = F.when(F.col("change") == "BodyChanged", "body").otherwise("signature")
+    found = found.groupBy("edit").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "name", kind))), ",").alias("changed"))
+    return spark.range(len(S.EDITS)).select(F.col("id").cast("int").alias("edit")).join(found, "edit", "left").select("edit", F.coalesce("changed", F.lit("")).alias("changed"))
+
+
+@query("name_status", _values([(i, *c) for i, c in enumerate(S.CHANGES)], "ord integer, path varchar, status varchar, old_path varchar"))
+def name_status(spark, sf_dir):
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(R.parse_status(S.STATUS.encode()))], "ord int, path string, status string, old_path string")
+
+
+@query("tree_scan", _values([(i, *f) for i, f in enumerate(S.INDEXED)], "place integer, path varchar, lang varchar"))
+def tree_scan(spark, sf_dir):
+    """The files of a tree that are indexed, in path order, with settings that ignore some."""
+    with tempfile.TemporaryDirectory() as root:
+        _write(root, S.FILES)
+        found, _ = R.discover(root, R.load_config(root).ignore)
+    return spark.createDataFrame([(i, *f) for i, f in enumerate(found)], "place int, path string, lang string")
+
+
+def _write(root: str, files: dict) -> None:
+    for path, text in files.items():
+        target = os.path.join(root, path)
+        if text is None:
+            os.unlink(target)
+            continue
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        if isinstance(text, tuple):
+            with open(target, encoding="utf-8") as f:
+                text = f.read().replace(*text)
+        with open(target, "w", encoding="utf-8") as f:
+            f.write(text)
+
+
+@query("commands_over_git", _values([(i, code, n, line) for i, (_, _, code, lines) in enumerate(S.STEPS) for n, line in enumerate(lines if lines is not None else [""])], "step integer, code integer, place integer, line varchar"))
+def commands_over_git(spark, sf_dir):
+    """The command line over a small repository: exit codes and output of index, changes, select and why, without times. Reasons that git words itself are left empty."""
+    from .. import cli
+
+    out = []
+    with tempfile.TemporaryDirectory() as root:
+        _write(root, S.PORT)
+        git = lambda *a: R.git(root, "-c", "user.name=x", "-c", "user.email=x@example.org", *a)
+        git("init", "-q")
+        git("add", "-A")
+        git("commit", "-qm", "port")
+        for step, (edits, argv, _, lines) in enumerate(S.STEPS):
+            _write(root, edits)
+            text = io.StringIO()
+            code = cli.run(spark, ["--root", root, *argv], text, io.StringIO())
+            said = text.getvalue().splitlines()
+            if argv == ["index"]:
+                said = [R.to_json({k: v for k, v in json.loads(said[0]).items() if k != "ms"})]
+            out += [(step, code, n, line) for n, line in enumerate(said if lines is not None else [""])]
+            git("checkout", "-q", "--", ".")
+            git("clean", "-fdq")
+    return spark.createDataFrame(out, "step int, code int, place int, line string")

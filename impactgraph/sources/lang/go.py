@@ -133,10 +133,26 @@ def extract(src: str, path: str = "") -> Extraction:
                 if t.kind_at(j - 1) == "id" and t.text[j - 1] != "import":
                     aliases.add(t.text[j - 1])
     known = {d["name"] for d in x.defs if d["kind"] == "Function"} | {m["raw"].rsplit("/", 1)[-1] for m in x.imports} | aliases
-    x.scan(known - {""}, KEYWORDS, (".",), subtests, imports)
+    x.scan(known - {""}, KEYWORDS, (".",), subtests, [*imports, *_signatures(t)])
     return x
 
 
+def _signatures(t) -> list[tuple[int, int]]:
+    """The receivers, parameters and results of functions: names and types, which are no references."""
+    out = []
+    for i in range(len(t)):
+        if t.kind[i] == "id" and t.text[i] == "func":
+            at = i + 1
+            while at < len(t) and t.text[at] != "{" and not (t.line[at] != t.line[at - 1] and t.text[at] != ")") and t.text[at] not in (")", ",", ";"):
+                if t.text[at] in ("interface", "struct") and t.at(at + 1) == "{":
+                    at += 1
+                    at = t.close(at) + 1
+                else:
+                    at = t.close(at) + 1 if t.kind[at] == "op" and t.text[at] in "([" else at + 1
+            out.append((i, at))
+    return out
+
+
 def module_prefix(go_mod: str) -> str | None:
     """The module path on the first line of a go.mod."""
     first = go_mod.split("\n", 1)[0].strip()

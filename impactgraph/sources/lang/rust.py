@@ -133,17 +133,58 @@ def extract(src: str, path: str = "") -> Extraction:
             x.scopes.append((a, b, x.add(name, "TestCase", (a, b), body, [*mods, name])))
         else:
             x.scopes.append((a, b, x.add(f"{owner}.{name}" if kind == "Method" else name, "Method" if kind == "Method" else "Function", (a, b), body)))
+    templates, patterns, types = [], set(), []
     for i in range(len(t)):
+        if t.kind[i] == "id" and t.text[i] in ("fn", "impl", "struct", "enum", "trait", "union") and t.at(i - 1) not in ("::", ".", ":", "->", "&", "<", ",", "("):  # names and types up to the body
+            body = _body(t, i, len(t))
+            types.append((i + 1 + (t.text[i] != "impl"), (body[0] if t.text[i] in ("fn", "impl", "trait") else body[1]) if body else _until(t, i, len(t))))
+        if t.kind[i] == "id" and t.at(i + 1) == "{" and t.text[i][0].isupper():  # a struct's literal names a type
+            types.append((i, i + 1))
+        if t.kind[i] == "id" and (t.at(i - 1) == "fn" or t.text[i] in ("Fn", "FnMut", "FnOnce")):  # names of functions and their types
+            patterns.add(i)
+        if t.text[i] == "macro_rules" and t.at(i + 1) == "!" and t.kind_at(i + 2) == "id":
+            templates.append((i, t.close(i + 3) + 1))
+        if t.text[i] == "enum" and t.kind_at(i + 1) == "id" and (body := _body(t, i, len(t))):
+            patterns.update(k for k in range(*body) if t.at(k - 1) in ("{", ",", "]") and t.close(body[0]) == body[1] - 1)
+        if t.text[i] == "let":
+            patterns.update(names := _pattern(t, i + 1, ("=", ":", ";")))
+            end = names[-1] + 1 if names else i + 1
+            if t.at(end) == ":":
+                types.append((end, end + len(_pattern(t, end, ("=", ";")))))
+        if t.text[i] == "=>" and t.kind[i] == "op":
+            patterns.update(_arm(t, i))
         if t.text[i] == "!" and t.kind_at(i - 1) == "id" and t.at(i + 1) in ("(", "[", "{") and t.kind[i] == "op":
             macros.append((i + 1, t.close(i + 1) + 1))
             x.names.add(i - 1)
         if t.text[i] == "#" and t.at(i + 1) == "[":
             x.names.update(range(i + 1, t.close(i + 1)))
     known = {d["name"] for d in x.defs if d["kind"] in ("Function", "Class")} | {n for m in x.imports for n in use_names(m["raw"])}
-    x.scan(known, KEYWORDS, (".", "::"), macros=macros)
+    x.scan(known, KEYWORDS, (".", "::"), skipped=types, macros=macros, patterns=patterns, templates=templates)
     return x
 
 
+def _pattern(t, at: int, stops: tuple[str, ...]) -> list[int]:
+    """The tokens from one on up to the first of the stops outside brackets."""
+    first = at
+    while at < len(t) and t.text[at] not in stops:
+        at = t.close(at) + 1 if t.kind[at] == "op" and t.text[at] in "([{" else at + 1
+    return list(range(first, at))
+
+
+def _arm(t, arrow: int) -> list[int]:
+    """The tokens of the pattern before a match arm's arrow; a guard is no part of it."""
+    at, guard = arrow - 1, arrow
+    while at >= 0 and t.text[at] not in ("{", ",", ";"):
+        if t.text[at] == "if" and t.kind[at] == "id":
+            guard = at
+        if t.kind[at] == "op" and t.text[at] in ")]}":
+            if t.text[at] == "}" and t.pair.get(at, at) != at and t.at(at + 1) not in ("=>", "|", "if"):
+                break  # the block of the arm before
+            at = t.pair.get(at, at)
+        at -= 1
+    return list(range(at + 1, guard))
+
+
 def _angle(t, at: int) -> int:
     depth = 0
     while at < len(t):

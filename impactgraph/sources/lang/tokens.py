@@ -37,6 +37,19 @@ class Tokens:
         """The partner of an opening bracket, or the last token if it is never closed."""
         return self.pair.get(i, len(self.text) - 1)
 
+    def angle(self, i: int) -> int:
+        """The place after the partner of the < at i; brackets inside are passed whole."""
+        depth = 0
+        while i < len(self.text):
+            if self.kind[i] == "op":
+                if self.text[i] in _OPEN:
+                    i = self.close(i)
+                depth += (self.text[i] == "<") - (self.text[i] == ">")
+                if depth <= 0:
+                    return i + 1
+            i += 1
+        return i
+
     def fingerprint(self, spans: list[tuple[int, int]]) -> str:
         """A hash of the kinds and texts of the tokens in half-open spans."""
         h = hashlib.sha256()
@@ -161,11 +174,15 @@ class Extraction:
             out[a:b] = [d] * len(out[a:b])
         return out
 
-    def scan(self, known: set[str], keywords: set[str], joins: tuple[str, ...], not_calls: set[int] = frozenset(), skipped: list[tuple[int, int]] = (), macros: list[tuple[int, int]] = ()) -> None:
-        """Calls are names before an argument list; reads are other names, or members, that the allow-list knows. Each (def, kind, name, qualifier) is kept once."""
+    def scan(self, known: set[str], keywords: set[str], joins: tuple[str, ...], not_calls: set[int] = frozenset(), skipped: list[tuple[int, int]] = (), macros: list[tuple[int, int]] = (), patterns: set[int] = frozenset(), templates: list[tuple[int, int]] = ()) -> None:
+        """Calls are names before an argument list; reads are other names, or members, that the allow-list knows. Each (def, kind, name, qualifier) is kept once.
+
+        Names in patterns call nothing though brackets follow; in templates (bodies of macro definitions) known names are read and nothing is called.
+        """
         t, owner, seen = self.tokens, self.owner(), set()
         hidden = {i for a, b in skipped for i in range(a, b)}
         inside = {i for a, b in macros for i in range(a, b)}
+        loose = {i for a, b in templates for i in range(a, b)}
 
         def put(i: int, kind: str, qualifier: str | None) -> None:
             key = (owner[i], kind, t.text[i], qualifier)
@@ -176,16 +193,20 @@ class Extraction:
         for i, kind in enumerate(t.kind):
             if kind != "id" or i in self.names or i in hidden or t.text[i] in keywords:
                 continue
-            nxt = i + 1
+            if i in loose:
+                if t.text[i] in known and t.at(i - 1) != "$":
+                    put(i, "read", None)
+                continue
+            nxt, generic = i + 1, False
             if "::" in joins and t.at(nxt) == "::" and t.at(nxt + 1) == "<":  # turbofish
                 depth = 0
                 for nxt in range(i + 2, len(t)):
                     depth += (t.text[nxt] == "<") - (t.text[nxt] == ">")
                     if not depth:
                         break
-                nxt += 1
+                nxt, generic = nxt + 1, True  # such a call is a read of its name
             member = t.at(i - 1) in joins
-            if t.at(nxt) == "(":
+            if t.at(nxt) == "(" and i not in patterns and not generic:
                 if i in inside:
                     put(i, "call", None)
                 elif i not in not_calls:
@@ -195,9 +216,9 @@ class Extraction:
             elif member:
                 simple = t.kind_at(i - 2) == "id" and t.at(i - 3) not in joins
                 whole = self._operand(i - 2, joins)
-                if t.at(i + 1) not in joins and (simple or t.at(i - 1) == "::") and (t.text[i] in known or whole in known):
+                if (generic or t.at(i + 1) not in joins) and (simple or t.at(i - 1) == "::") and (t.text[i] in known or whole in known):
                     put(i, "read", whole)
-            elif t.at(i + 1) not in joins and t.text[i] in known:
+            elif (generic or t.at(i + 1) not in joins) and t.text[i] in known:
                 put(i, "read", None)
 
     def _operand(self, i: int, joins: tuple[str, ...]) -> str:
@@ -208,6 +229,8 @@ class Extraction:
                 i = t.pair[i]
                 if t.kind_at(i - 1) == "id":
                     i -= 1
+                elif "::" in joins and t.at(i - 1) == "!" and t.kind_at(i - 2) == "id":  # a macro
+                    i -= 2
             if t.at(i - 1) in joins:
                 i -= 2
                 continue

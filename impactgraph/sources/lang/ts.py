@@ -27,8 +27,11 @@ def _end(t, at: int, stop: int) -> int:
 
 
 def _block(t, at: int, stop: int) -> tuple[int, int] | None:
-    """The braces of a function or class from a token on; braces of types after a colon or < are passed."""
+    """The braces of a function or class from a token on; braces of types after a colon and whole type parameters are passed."""
     while at < stop:
+        if t.text[at] == "<" and t.kind[at] == "op":
+            at = t.angle(at)
+            continue
         if t.text[at] == "{" and t.kind[at] == "op":
             if t.at(at - 1) in (":", "<", "|", "&", ","):
                 at = t.close(at) + 1
@@ -49,12 +52,7 @@ def _function_value(t, at: int) -> tuple[int, int] | None:
         body = _block(t, at, len(t))
         return (start, body[1]) if body else None
     if t.at(at) == "<":
-        depth = 0
-        while at < len(t):
-            depth += (t.text[at] == "<") - (t.text[at] == ">")
-            at += 1
-            if not depth:
-                break
+        at = t.angle(at)
     if t.at(at) == "(":
         at = t.close(at) + 1
         if t.at(at) == ":":
@@ -81,12 +79,12 @@ def extract(src: str, path: str = "") -> Extraction:
         i += t.at(i) == "declare"
         j = i + (t.at(i) in ("async", "abstract"))
         word = t.at(j)
-        if word == "function" and (t.kind_at(j + 1) == "id" or t.at(j + 1) == "*"):
+        if word == "function" and t.kind_at(j + 1 + (t.at(j + 1) == "*")) == "id":
             name, body = j + 1 + (t.at(j + 1) == "*"), _block(t, j, n)
             end = body[1] if body else _end(t, j, n)
             tops.append(("Function", (i, end), name, body, (i, end)))
             skipped.append((start, end))
-        elif word == "class" and t.kind_at(j + 1) == "id":
+        elif word == "class" and t.kind_at(j + 1) == "id" and t.at(j + 1) not in ("extends", "implements"):  # a nameless class is an expression
             body = _block(t, j, n)
             end = body[1] if body else _end(t, j, n)
             tops.append(("Class", (i, end), j + 1, body, (i, end)))
@@ -133,7 +131,8 @@ def extract(src: str, path: str = "") -> Extraction:
         x.scopes.append((*scope, d))
         if kind == "Class" and body:
             _methods(x, body[0] + 1, body[1] - 1, d)
-    skip_calls: set[int] = set()
+    # Methods of object literals and class expressions define; they call nothing.
+    skip_calls = {k for k in range(1, n) if t.kind[k] == "id" and t.at(k + 1) == "(" and t.at(t.close(k + 1) + 1) == "{" and t.text[k - 1] in ("{", "}", ";", ",", "async", "static", "get", "set", "*")}
     _tests(x, 0, n, [], skip_calls)
     for k in range(n):  # import and export sources, anywhere
         if t.kind[k] == "str" and (t.at(k - 1) == "from" or t.at(k - 1) == "import" and t.kind_at(k - 1) == "id"):
@@ -150,9 +149,7 @@ def _methods(x: Extraction, a: int, b: int, parent: int) -> None:
         while t.at(i) in ("static", "async", "get", "set", "public", "private", "protected", "readonly", "override", "*", "abstract") and t.at(i + 1) not in ("(", "=", ":", ";"):
             i += 1
         if t.kind_at(i) in ("id", "str", "num") and t.at(i + 1) in ("(", "<"):
-            at = i + 1
-            while at < b and t.text[at] != "(":
-                at += 1
+            at = t.angle(i + 1) if t.at(i + 1) == "<" else i + 1
             body = _block(t, t.close(at) + 1, b)
             if body:
                 x.names.add(i)

@@ -160,13 +160,13 @@ def parse_status(raw: bytes) -> list[tuple[str, str, str | None]]:
     return out
 
 
-def changed_files(repo: str, start: str, end: str | None = None) -> list[tuple[str, str, str | None]]:
-    """Changes from one revision to another, or to the working tree with its untracked files as Added; the diff wins."""
-    out = parse_status(git(repo, "diff", "--name-status", "-M", "-z", start, *([end] if end else []), "--"))
-    if end is None:
-        known = {p for p, _, _ in out}
-        out += [(p, "Added", None) for p in git(repo, "ls-files", "--others", "--exclude-standard", "-z").decode().split("\0") if p and p not in known]
-    return out
+def diffed_files(repo: str, start: str, end: str | None = None) -> list[tuple[str, str, str | None]]:
+    """(path, status, old path) of the changes from one revision to another, or to the working tree."""
+    return parse_status(git(repo, "diff", "--name-status", "-M", "-z", start, *([end] if end else []), "--"))
+
+
+def untracked_files(repo: str) -> list[str]:
+    return [p for p in git(repo, "ls-files", "--others", "--exclude-standard", "-z").decode().split("\0") if p]
 
 
 def show_file(repo: str, rev: str, path: str) -> bytes | None:
@@ -179,11 +179,40 @@ def show_file(repo: str, rev: str, path: str) -> bytes | None:
         raise
 
 
+def show_files(repo: str, rev: str, paths: list[str]) -> dict[str, bytes | None]:
+    """The files at a revision, all read by one process; None for those that do not exist there."""
+    sha = git(repo, "rev-parse", "--verify", f"{rev}^{{commit}}").decode().strip()
+    plain = [p for p in dict.fromkeys(paths) if "\n" not in p]
+    out: dict[str, bytes | None] = {p: show_file(repo, sha, p) for p in dict.fromkeys(paths) if "\n" in p}
+    if not plain:
+        return out
+    done = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="".join(f"{sha}:{p}\n" for p in plain).encode(), capture_output=True)
+    if done.returncode:
+        raise GitError(done.stderr.decode(errors="replace").strip())
+    raw, at = done.stdout, 0
+    for p in plain:
+        end = raw.index(b"\n", at)
+        head = raw[at:end]
+        at = end + 1
+        if head.endswith(b" missing"):
+            out[p] = None
+            continue
+        kind, size = head.split()[-2:]
+        out[p] = raw[at : at + int(size)] if kind == b"blob" else None
+        at += int(size) + 1
+    return out
+
+
 @contextmanager
-def snapshot(repo: str, rev: str):
-    """A checkout of rev in a temporary worktree, removed at the end."""
+def snapshot(repo: str, rev: str, shared: str):
+    """A checkout of rev in a temporary worktree under a folder that executors see, removed at the end."""
     sha = git(repo, "rev-parse", "--verify", f"{rev}^{{commit}}").decode().strip()
-    folder = tempfile.mkdtemp(prefix=f"impactgraph-{sha[:12]}-")
+    base = shared.removeprefix("file:")
+    base = "/" + base.lstrip("/") if shared.startswith("file:") else base
+    if "://" in base:
+        raise ValueError(f"{shared} is no mounted folder: a revision can be checked out only where git can write")
+    os.makedirs(base, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix=f"impactgraph-{sha[:12]}-", dir=base)
     try:
         git(repo, "worktree", "add", "--detach", "--force", folder, sha)
         yield folder
@@ -192,15 +221,19 @@ def snapshot(repo: str, rev: str):
         subprocess.run(["git", "-C", repo, "worktree", "prune"], capture_output=True)
 
 
-def import_targets(path: str, lang: str, raws: list[str], catalog: set[str], go_module: str | None, roots: list[str]) -> list[str]:
-    """The first existing candidate of each import, among all paths and directories."""
-    out = []
-    for raw in raws:
-        options = ts.candidates(path, raw) if lang == "ts" else go.candidates(path, raw, go_module) if lang == "go" else rust.candidates(path, raw, roots)
-        hit = next((c for c in options if c in catalog), None)
-        if hit is not None:
-            out.append(hit)
-    return out
+def import_candidates(go_module: str | None, roots: list[str]):
+    """For mapInPandas over (file_id, path, lang, raws): rows (file_id, ord, priority, candidate) of where each import may lead, best first."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for file_id, path, lang, raws in zip(f["file_id"], f["path"], f["lang"], f["raws"], strict=True):
+                for n, raw in enumerate(raws):
+                    options = ts.candidates(path, raw) if lang == "ts" else go.candidates(path, raw, go_module) if lang == "go" else rust.candidates(path, raw, roots)
+                    rows += [(file_id, n, k, c) for k, c in enumerate(options)]
+            yield pd.DataFrame(rows, columns=["file_id", "ord", "priority", "candidate"]).astype({"file_id": "int64", "ord": "int32", "priority": "int32"})
+
+    return run
 
 
 def to_json(value) -> str:
