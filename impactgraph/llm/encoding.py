@@ -10,10 +10,10 @@ import numpy as np
 
 #: The Unicode White_Space characters; the tokenizer never joins what stands on both sides of such a boundary.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Latin letters: a run of them, with its leading space, is one token group wherever white space or these signs follow.
-LATIN, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?|"
+#: Latin letters: a run of them, with its leading space, is one token group wherever no letter follows; white space and ASCII signs and digits are none.
+LATIN, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-@\\[-`{-~"
 PIECE = re.compile(f" ?[{LATIN}]++(?=[{WHITE}{SIGNS}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-WORD = re.compile(f" [{LATIN}]+")
+WORD = re.compile(f" ?[{LATIN}]+")
 
 
 def default_path() -> str:
@@ -25,8 +25,8 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    A text is cut only where the tokenizer's own pre-tokenizer always cuts: before a word with its leading space, between
-    letters and a sign, and around runs of white space. Each distinct piece is encoded once by the library and kept in two generations of
+    A text is cut only where the tokenizer's own pre-tokenizer always cuts: before a word with its leading space, after
+    letters that a sign or digit follows, and around runs of white space. Each distinct piece is encoded once by the library and kept in two generations of
     bounded size; texts that hold an added token's string go to the library whole. The ids equal those of encoding the text.
     """
 
@@ -37,6 +37,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.cache, self.old = limit, {}, {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,37 +56,48 @@ class Encoder:
                 cache[p] = old[p]
             else:
                 (words if WORD.fullmatch(p) else rest).append(p)
-        for i in range(0, len(words), 4096):  # words stay apart in one text; the library tells which ids are whose
+        for i in range(0, len(words), 4096):  # words on lines of their own in one text; the ends of the lines tell which ids are whose
             part = words[i : i + 4096]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist(), len(ids)]
-            if len(cuts) != len(part) + 1:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part) - 1:
                 rest += part
                 continue
-            cache.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            raw, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            cache.update(zip(part, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
         for i in range(0, len(rest), 4096):
             cache.update(zip(rest[i : i + 4096], self._encode(rest[i : i + 4096]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
-        get, out, later, new = self.cache.get, [], [], {}
+        cache, out, later, new = self.cache, [], [], {}
+        get, find = cache.get, PIECE.findall
         for text in texts:
             if not text or any(a in text for a in self.added):
                 out.append(self._encode([text])[0] if text else b"")
                 continue
-            pieces = PIECE.findall(text)
+            pieces = find(text)
             ids = list(map(get, pieces))
-            if None in ids:
-                later.append((len(out), pieces))
-                new.update(dict.fromkeys(p for p, x in zip(pieces, ids, strict=True) if x is None))
+            gaps, at = [], -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    gaps.append(at)
+            except ValueError:
+                pass
+            if gaps:
+                unknown = [pieces[g] for g in gaps]
+                new.update(dict.fromkeys(unknown))
+                later.append((len(out), ids, gaps, unknown))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         self._learn(list(new))
-        for i, pieces in later:
-            out[i] = b"".join(map(self.cache.__getitem__, pieces))
+        for i, ids, gaps, unknown in later:
+            for g, p in zip(gaps, unknown, strict=True):
+                ids[g] = cache[p]
+            out[i] = b"".join(ids)
         return out
 
 

@@ -96,13 +96,18 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id in order, by undoing the stable partitions from the lowest plane up."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        ids = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        place = np.arange(self.n, dtype=np.int64 if self.n >> 30 else np.int32)
         for p, zeros, bits, _ in reversed(self.planes):
-            bit = np.unpackbits(bits, count=self.n, bitorder="little").astype(bool)
-            back = np.empty_like(ids)
-            back[~bit], back[bit] = ids[:zeros], ids[zeros:] | np.uint32(1 << p)
-            ids = back
-        return ids
+            ids[zeros:] |= ids.dtype.type(1 << p)
+            bit = np.unpackbits(bits, count=self.n, bitorder="little")
+            ones = np.cumsum(bit, dtype=place.dtype)
+            at = place - ones  # where a zero comes from; a one comes from zeros + ones - 1
+            ones += ones - place + (zeros - 1)
+            ones *= bit
+            at += ones
+            ids = ids.take(at)
+        return ids.astype(np.uint32)
 
 
 KIND = pa.list_(pa.struct([("plane", pa.int32()), ("zeros", pa.int64()), ("bits", pa.binary()), ("ranks", pa.binary())]))
@@ -144,7 +149,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21, part_bytes: int = 32 << 20) -> DataFrame:
+def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 18, part_bytes: int = 32 << 20) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes wavelet matrices in ascending id order; returns the table of files.
 
     A null text is empty, so its document holds the end id alone. Repeated ids stay apart, ordered by a hash of their
@@ -169,7 +174,7 @@ def _documents(batches):
         for row in batch.to_pylist():
             ids, docs, ends = _matrix(row).all().astype("<u4"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
             starts, size = np.concatenate(([0], ends[:-1])), len(docs)
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             cols = [pa.array([row["part"]] * size, pa.int32()), pa.array([row["shard"]] * size, pa.int32()), pa.array(docs, pa.int64(), mask=~np.frombuffer(row["valid"], dtype=bool)), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
 

@@ -84,7 +84,7 @@ def test_wavelet_refuses_ids_that_do_not_fit():
 
 
 ENCODER = encoding.Encoder(encoding.default_path(), limit=40)
-BITS = [" ", "  ", "\n", "\t", "a", "foo", "Été", "'s", "don't", ".", "..", "!?", "1", "中文", "\x85", " ", "　", "́", "|", "<|endoftext|>", "\x1c", "\x00", "🙂", "x²", "_"]
+BITS = [" ", "  ", "$$", "it'll", "x-y", "a1", "ſ", "ǆ", "é", "@", "`", "[b]", "~", "\n", "\t", "a", "foo", "Été", "'s", "don't", ".", "..", "!?", "1", "中文", "\x85", " ", "　", "́", "|", "<|endoftext|>", "\x1c", "\x00", "🙂", "x²", "_"]
 
 
 @settings(max_examples=150, deadline=None)
