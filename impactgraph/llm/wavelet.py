@@ -1,7 +1,7 @@
 """Token ids on disk as wavelet matrices: succinct bit-planes with rank and select, one compressed row a shard.
 
-File format: Parquet, rows (part, shard, n, ids, valid, ends, planes). A shard is a run of documents in ascending id order, and part and shard order the
-shards. `ids`, `valid` and `ends` are its documents' ids, whether they are not null, and their ends as token counts. `planes` holds, from the highest bit
+File format: Parquet, rows (part, shard, n, before, ids, valid, ends, planes). A shard is a run of documents in ascending id order, and part and shard order the
+shards; before counts the ids of the part before the shard. `ids`, `valid` and `ends` are its documents' ids, whether they are not null, and their ends as token counts. `planes` holds, from the highest bit
 down, (plane, zeros, bits, ranks): the packed bits of every id in the order left by the planes above (zeros first, stable), the ones before
 each block of 512 bits, and the number of zeros. From these alone a reader gets the id at a place, the count of an id, and the place of an id's k-th
 occurrence: `access`, `count` and `locate` answer over the written table, `WaveletMatrix` within one shard.
@@ -20,7 +20,7 @@ from .common import discard, documents, small_batches, staged
 from .encoding import default_path, encoder
 
 BLOCK = 512
-SCHEMA = "part int, shard int, n long, ids binary, valid binary, ends binary, planes array<struct<plane:int,zeros:long,bits:binary,ranks:binary>>"
+SCHEMA = "part int, shard int, n long, before long, ids binary, valid binary, ends binary, planes array<struct<plane:int,zeros:long,bits:binary,ranks:binary>>"
 
 
 def build(ids: np.ndarray, planes: int) -> list[tuple[int, int, bytes, bytes]]:
@@ -113,13 +113,14 @@ class WaveletMatrix:
 KIND = pa.list_(pa.struct([("plane", pa.int32()), ("zeros", pa.int64()), ("bits", pa.binary()), ("ranks", pa.binary())]))
 
 
-def _row(part: int, shard: int, ids: list[bytes], doc_ids: list, planes: int) -> pa.RecordBatch:
+def _row(part: int, shard: int, before: int, ids: list[bytes], doc_ids: list, planes: int) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
     docs = pa.array(doc_ids, pa.int64())
     cols = {
         "part": pa.array([part], pa.int32()),
         "shard": pa.array([shard], pa.int32()),
         "n": pa.array([len(flat)], pa.int64()),
+        "before": pa.array([before], pa.int64()),
         "ids": pa.array([docs.fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()),
         "valid": pa.array([np.array([d is not None for d in doc_ids], dtype=bool).tobytes()], pa.binary()),
         "ends": pa.array([np.cumsum([len(x) // 4 for x in ids]).astype("<i8").tobytes()], pa.binary()),
@@ -134,17 +135,17 @@ def _write(path: str, end_id: int, shard_tokens: int):
 
         part, enc, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u4").tobytes()
         planes = max(end_id, enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, 1).bit_length()
-        held, docs, size, shard = [], [], 0, 0
+        held, docs, size, shard, before = [], [], 0, 0, 0
         for batch in batches:
             for d, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 held.append(ids + end)
                 docs.append(d)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
-                    yield _row(part, shard, held, docs, planes)
-                    held, docs, size, shard = [], [], 0, shard + 1
+                    yield _row(part, shard, before, held, docs, planes)
+                    held, docs, size, shard, before = [], [], 0, shard + 1, before + size
         if docs:
-            yield _row(part, shard, held, docs, planes)
+            yield _row(part, shard, before, held, docs, planes)
 
     return run
 
@@ -172,27 +173,28 @@ def _documents(batches):
     """Shards to their documents, decoded from the planes."""
     for batch in batches:
         for row in batch.to_pylist():
-            ids, docs, ends = _matrix(row).all().astype("<u4"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
+            ids, docs, ends = _matrix(row).all().astype("<u4", copy=False), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
             starts, size = np.concatenate(([0], ends[:-1])), len(docs)
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            cols = [pa.array([row["part"]] * size, pa.int32()), pa.array([row["shard"]] * size, pa.int32()), pa.array(docs, pa.int64(), mask=~np.frombuffer(row["valid"], dtype=bool)), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+            cols = [pa.array([row["part"]] * size, pa.int32()), pa.array(docs, pa.int64(), mask=~np.frombuffer(row["valid"], dtype=bool)), pa.array(starts + row["before"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
-def _running(shards: DataFrame, value: str) -> DataFrame:
-    """(part, shard, before): the sum of value over all shards before. Parts are summed first, so the last step has one row a part in its only task."""
-    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = shards.groupBy("part").agg(F.sum(value).alias("total"))
-    parts = parts.select("part", before(Window.orderBy("part"), "total").alias("base"))
-    inner = shards.withColumn("inner", before(Window.partitionBy("part").orderBy("shard"), value)).join(parts, "part")
-    return inner.select("part", "shard", (F.col("base") + F.col("inner")).alias("before"))
+def _before(window, column: str):
+    """The sum of a column over the window's rows before the current one."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _bases(shards: DataFrame) -> DataFrame:
+    """(part, base): the sum of n over all parts before. Parts are summed first, so the last step has one row a part in its only task."""
+    parts = shards.groupBy("part").agg(F.sum("n").alias("total"))
+    return parts.select("part", _before(Window.orderBy("part"), "total").alias("base"))
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the wavelet files alone; planes are decoded where they are read."""
-    docs = files.mapInArrow(_documents, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    starts = _running(files.select("part", "shard", "n"), "n")
-    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    docs = files.mapInArrow(_documents, "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return docs.join(_bases(files.select("part", "n")), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def access(files: DataFrame, places: list[int]) -> DataFrame:
@@ -206,10 +208,10 @@ def access(files: DataFrame, places: list[int]) -> DataFrame:
                 own = [p for p in places if row["before"] <= p < row["before"] + row["n"]]
                 yield pa.RecordBatch.from_pydict({"place": pa.array(own, pa.int64()), "id": pa.array([matrix.access(p - row["before"]) for p in own], pa.int64())})
 
-    starts = _running(files.select("part", "shard", "n"), "n").join(files.select("part", "shard", "n"), ["part", "shard"])
+    starts = files.select("part", "shard", "n", "before").join(_bases(files.select("part", "n")), "part").withColumn("before", F.col("base") + F.col("before"))
     hit = F.exists(F.lit(places).cast("array<long>"), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))
     wanted = starts.where(hit).select("part", "shard", "before")
-    return files.join(wanted, ["part", "shard"]).select("part", "shard", "n", "before", "planes").mapInArrow(run, "place long, id long")
+    return files.drop("before").join(wanted, ["part", "shard"]).select("part", "shard", "n", "before", "planes").mapInArrow(run, "place long, id long")
 
 
 def _counts(values: list[int]):
@@ -232,13 +234,15 @@ def count(files: DataFrame, values: list[int]) -> DataFrame:
 def locate(files: DataFrame, value: int, k: int) -> int | None:
     """The place, over the whole table, of an id's k-th occurrence from 0; None if there are fewer. One shard's planes are selected on."""
     found = staged(files.select("part", "shard", "n", "planes").mapInArrow(_counts([value]), "part int, shard int, id long, n long"), "occurrences")
-    before = _running(found, "n").join(found, ["part", "shard"]).where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()
+    inner = _before(Window.partitionBy("part").orderBy("shard"), "n")
+    earlier = found.withColumn("inner", inner).join(_bases(found), "part").withColumn("earlier", F.col("base") + F.col("inner"))
+    at = earlier.where((F.col("earlier") <= k) & (F.col("earlier") + F.col("n") > k)).select("part", "shard", "earlier").first()
     discard(found)
-    if before is None or k < 0:
+    if at is None or k < 0:
         return None
-    row = files.where((F.col("part") == before["part"]) & (F.col("shard") == before["shard"])).first().asDict(True)
-    start = _running(files.select("part", "shard", "n"), "n").where((F.col("part") == before["part"]) & (F.col("shard") == before["shard"])).first()["before"]
-    return start + _matrix(row).locate(value, k - before["before"])
+    row = files.where((F.col("part") == at["part"]) & (F.col("shard") == at["shard"])).first().asDict(True)
+    base = _bases(files.select("part", "n")).where(F.col("part") == at["part"]).first()["base"]
+    return base + row["before"] + _matrix(row).locate(value, k - at["earlier"])
 
 
 def op2_wavelet(spark, sf_dir):
