@@ -150,7 +150,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 18, part_bytes: int = 32 << 20) -> DataFrame:
+def write_wavelets(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 17, part_bytes: int = 32 << 20) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes wavelet matrices in ascending id order; returns the table of files.
 
     A null text is empty, so its document holds the end id alone. Repeated ids stay apart, ordered by a hash of their
