@@ -216,7 +216,7 @@ def words_of_many(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray,
     return hashes, np.searchsorted(starts, ends)
 
 
-def runs_of(sizes: list[int], limit: int = 1 << 21):
+def runs_of(sizes: list[int], limit: int = 1 << 19):
     """Cuts rows into runs (from, to) whose sizes add up to about limit, so that work on a run has bounded memory."""
     first, held = 0, 0
     for i, n in enumerate(sizes):

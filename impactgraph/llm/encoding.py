@@ -30,7 +30,7 @@ class Encoder:
     bounded size; texts that hold an added token's string go to the library whole. The ids equal those of encoding the text.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
