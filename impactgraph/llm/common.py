@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import os
 import re
@@ -130,10 +131,21 @@ def ship(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+def release() -> None:
+    """Gives the freed memory of a Python worker back to the system, as workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Readies Python workers: the package is there, and Arrow batches are bounded by bytes, whatever the texts' lengths."""
     ship(spark)
-    spark.conf.set(ARROW_BYTES, str(8 << 20))
+    spark.conf.set(ARROW_BYTES, str(4 << 20))
     spark.conf.set(ARROW_ROWS, "4096")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, mix, packed, runs_of, small_batches, staged, unpacked, utf8, windows_of, words_of, words_of_many
+from .common import discard, documents, mix, packed, release, runs_of, small_batches, staged, unpacked, utf8, windows_of, words_of, words_of_many
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 8
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -90,6 +90,7 @@ def _sets(batches):
             bands.append(key.view(np.int64))
         cols = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column("text_hash")]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "twin", "sig", "bands", "text_hash"])
+    release()
 
 
 def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, staged
+from .common import documents, release, small_batches, staged
 from .encoding import default_path, encoder
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
@@ -182,6 +182,7 @@ def _cut(path: str, end_id: int, capacity: int):
                         col.append(v)
                     at, piece = at + size, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+        release()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, discard, documents, mix, runs_of, small_batches, spare, staged, utf8, wide_windows, windows_of, words_of_many
+from .common import bucketed, discard, documents, mix, release, runs_of, small_batches, spare, staged, utf8, wide_windows, windows_of, words_of_many
 
 OUT = ("n_words", "n_removed", "kept_text")
 HOT = 1 << 17
@@ -138,6 +138,7 @@ def _anchor_rows(size: int, lengths: list[int], packed: bool):
             hot = np.union1d(hot, flag) if len(hot) + len(flag) <= HOT else flag
             none = np.zeros(len(flag), dtype=np.int64)
             yield _batch([np.concatenate((part, flag)), np.concatenate((ids[owner], none)), np.concatenate((hs[owner], none)), np.concatenate((at, none - 1)), np.concatenate((sure, none > 0))], ["part", "id", "h", "pos", "sure"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])
+        release()
 
     return run
 
@@ -202,6 +203,7 @@ def _mark_rows(size: int, length: int):
             spread = mix((ids[owner[first]].astype(np.uint64) << np.uint64(20)) + at[first].astype(np.uint64)).view(np.int64)
             rows = np.concatenate((one, first))
             yield _batch([np.concatenate((k1[one], spread)), np.concatenate((k2[one], np.zeros(len(first), np.int64))), ids[owner[rows]], hs[owner[rows]], at[rows], np.concatenate((np.ones(len(one), np.int64), runs)), np.concatenate((np.zeros(len(one), bool), np.ones(len(first), bool)))], ["part", "k", "id", "h", "pos", "n", "sure"], [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.bool_()])
+        release()
 
     return run
 

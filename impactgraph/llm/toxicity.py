@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, release, small_batches
 from .minhash import shingle_set
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -200,16 +200,22 @@ class Model:
             beta = beta + np.clip(step, -5, 5)
         return float(beta[0]), float(beta[1])
 
-    def score(self, text: str | None, memo: dict) -> tuple[float, list]:
+    def found(self, text: str | None, memo: dict) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, the neighbours' numbers, nearest first, and their cosines; equal texts are searched once while memo holds them."""
         key = hashlib.blake2b((text or "").lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in memo:
-            found = self.index.search(self._vector(self._terms(counted(text))), self.k)
-            value = 1 / (1 + np.exp(-(self.fit[0] + self.fit[1] * self._vote(found)))) if found else self.prior
+            near = self.index.search(self._vector(self._terms(counted(text))), self.k)
+            value = 1 / (1 + np.exp(-(self.fit[0] + self.fit[1] * self._vote(near)))) if near else self.prior
             if len(memo) > 2_000:
                 memo.clear()
-            memo[key] = (min(1.0, max(0.0, float(value))), [{"doc_id": self.ids[i], "cosine": s, "label": int(self.labels[i])} for s, i in found])
+            memo[key] = min(1.0, max(0.0, float(value))), np.array([i for _, i in near], dtype=np.int64), np.array([s for s, _ in near])
         return memo[key]
 
+    def score(self, text: str | None, memo: dict) -> tuple[float, list]:
+        """The score and its evidence."""
+        value, near, cosines = self.found(text, memo)
+        return value, [{"doc_id": self.ids[i], "cosine": float(s), "label": int(self.labels[i])} for i, s in zip(near, cosines, strict=True)]
+
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, train, per_label: int, features, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, tuple[float, float]]:
     """(id, label, features) of at most per_label labelled rows of either label, chosen by a hash of the id, and the shares of all labelled rows kept.
@@ -255,10 +261,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         model, memo = shared.value, {}
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        ids, labels = np.array(model.ids, dtype=np.int64), model.labels.astype(np.int32)
         for batch in batches:
-            found = [model.score(t, memo) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)], [*batch.schema.names, "score", "evidence"])
+            found = [model.found(t, memo) for t in batch.column(text_col).to_pylist()]
+            near = np.concatenate([n for _, n, _ in found] or [np.zeros(0, dtype=np.int64)])
+            cosines = np.concatenate([c for _, _, c in found] or [np.zeros(0)])
+            offsets = pa.array(np.cumsum([0, *(len(n) for _, n, _ in found)]), pa.int32())
+            kind = pa.StructArray.from_arrays([pa.array(ids[near] if len(ids) else near, pa.int64()), pa.array(cosines, pa.float64()), pa.array(labels[near] if len(ids) else near, pa.int32())], ["doc_id", "cosine", "label"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _, _ in found], pa.float64()), pa.ListArray.from_arrays(offsets, kind)], [*batch.schema.names, "score", "evidence"])
+        del model, memo
+        release()
 
     return docs.mapInArrow(run, out).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
