@@ -28,7 +28,7 @@ OUT = ("score", "predicted", "evidence")
 EVIDENCE = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 
-Example = tuple[int, list[str], list[int], list[int], int]  # id, words, how often each occurs, marks of the text, label
+Example = tuple[int, str, list[int], list[int], int]  # id, words joined by spaces, how often each occurs, marks of the text, label
 
 
 def counted(text: str | None) -> Counter:
@@ -38,7 +38,7 @@ def counted(text: str | None) -> Counter:
 def example(doc_id: int, text: str | None, label: int) -> Example:
     """A labelled text as its word counts and the least of its shingles, which near copies share."""
     words = counted(text)
-    return doc_id, list(words), list(words.values()), [int(h) for h in shingle_set(text)[:8].view(np.int64)], label
+    return doc_id, " ".join(words), list(words.values()), [int(h) for h in shingle_set(text)[:8].view(np.int64)], label
 
 
 def remainder(id_col: str, m: int):
@@ -131,9 +131,9 @@ class Model:
         self.k, self.ids, self.labels = k, [r[0] for r in rows], np.array([r[4] for r in rows], dtype=float)
         self.vocabulary: dict[str, int] = {}
         for _, words, _, _, _ in rows:
-            for w in words:
+            for w in words.split():
                 self.vocabulary.setdefault(w, len(self.vocabulary))
-        counts = [self._terms(dict(zip(words, times, strict=True))) for _, words, times, _, _ in rows]
+        counts = [self._terms(dict(zip(words.split(), times, strict=True))) for _, words, times, _, _ in rows]
         frequency = np.zeros(len(self.vocabulary))
         for t, _ in counts:
             frequency[t] += 1
@@ -234,7 +234,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, train, per_label: i
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    kind = pa.struct([("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+    kind = pa.struct([("words", pa.string()), ("times", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -242,7 +242,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             x = pa.array([{"words": w, "times": n, "marks": m} for _, w, n, m, _ in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("h"), x], ["id", "label", "h", "x"])
 
-    return rows.mapInArrow(run, "id long, label int, h long, x struct<words:array<string>,times:array<long>,marks:array<long>>")
+    return rows.mapInArrow(run, "id long, label int, h long, x struct<words:string,times:array<long>,marks:array<long>>")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -283,8 +283,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1500, learn_fr
     """
     small_batches(docs.sparkSession)
     rows, rates = examples(docs if learn_from is None else learn_from, labels, "toxic", remainder("doc_id", 3) != 1, per_label, _word_counts, id_col, text_col)
-    rows = [(i, list(x["words"]), list(x["times"]), list(x["marks"]), y) for i, y, x in rows]
-    return score(docs.drop("held_out"), Model(rows, rates, telling=telling), text_col).withColumn("held_out", F.coalesce(remainder(id_col, 3) == 1, F.lit(False)))
+    model = Model([(i, x["words"], x["times"], x["marks"], y) for i, y, x in rows], rates, telling=telling)
+    del rows
+    scored = score(docs.drop("held_out"), model, text_col)
+    del model  # executors have it; the driver gives its memory back
+    release()
+    return scored.withColumn("held_out", F.coalesce(remainder(id_col, 3) == 1, F.lit(False)))
 
 
 def op8_toxicity(spark, sf_dir):
