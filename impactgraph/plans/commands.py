@@ -110,7 +110,7 @@ def graph_of(spark: SparkSession, root: str, extracted: DataFrame, found: list[t
     there = spark.createDataFrame([(p,) for p in sorted(catalog)], "path string")  # the repository's paths, as the driver's walk listed them
     hit = resolve.first_existing(candidates, there).select("file_id", "resolved")
     imports = staged(resolve.resolve_imports(hit, table), "imports")
-    calls, reads = resolve.resolve_refs(refs, resolve.scopes(table, imports), defs)
+    calls, reads = resolve.resolve_refs(refs, resolve.own_scopes(table, imports), defs, resolve.packages(table))
     return Graph(table, defs, resolve.contains_edges(defs), imports, staged(calls, "calls"), staged(reads, "reads"))
 
 

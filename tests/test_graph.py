@@ -1,5 +1,7 @@
 """Graph operators on hand-built graphs."""
 
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,31 @@ def test_stream_answers_batches(small, spark, tmp_path):
     q = watch(spark.readStream.schema("def_id long").parquet(f"{tmp_path}/in"), lambda: small, lambda tests, n: got.extend(r[0] for r in tests.collect()), f"{tmp_path}/check", once=True)
     q.awaitTermination(120)
     assert sorted(got) == [12, 21]
+
+
+def test_packages_resolve_without_pairs_of_files(spark):
+    """Equal to a scope of all pairs, on files without a directory, repeated definitions, referrers of two files and files of two directories."""
+    files = spark.createDataFrame([(1, "a", "go"), (2, "a", "ts"), (3, "b", "go"), (4, "b", "go"), (4, "a", "go"), (5, None, "go"), (6, "c", None), (2, "b", "ts")], "file_id long, dir string, lang string")
+    imports = spark.createDataFrame([(1, 2), (1, 3), (2, 6), (5, 1), (6, 6), (4, 3)], "from_file long, to_file long")
+    defs = [(10 * f + k, f, n, "Function") for f in range(1, 7) for k, n in enumerate("xyz"[: f % 3 + 1])] + [(10, 2, "x", "Function"), (10, 3, "q", "Class"), (7, 3, "x", "ModuleInit"), (12, 1, "solo", "Function")]
+    defs = spark.createDataFrame(defs, "def_id long, file_id long, short_name string, kind string")
+    refs = [(f, d, kind, n) for f in (1, 2, 3, 4, 5, 6, None, 9) for d in ((f or 0) * 10, 10, None) for kind in ("call", "read") for n in ("x", "y", "q", "none", None)]
+    refs = spark.createDataFrame([*refs, *refs[:9], (1, 12, "call", "solo"), (1, 12, "read", "solo")], "file_id long, from_def long, ref_kind string, name string")
+    scope, targets = defaultdict(set), defaultdict(set)
+    for f, t in [tuple(r) for r in resolve.scopes(files, imports).collect()]:
+        scope[f].add(t)
+    for d in defs.where("kind <> 'ModuleInit'").collect():
+        targets[d["file_id"], d["short_name"]].add(d["def_id"])
+    found, asked = defaultdict(set), set()
+    for f, d, kind, n in map(tuple, refs.collect()):
+        asked |= {(d, n)} if kind == "call" else set()
+        found[kind, d, n] |= set().union(*(targets[t, n] for t in scope[f] if f)) - {d} if d is not None and n else set()
+    edges = lambda kind: sorted({(d, t) for (k, d, _), to in found.items() for t in to if k == kind})
+    unknown = sorted(((d, n) for d, n in asked if not found["call", d, n]), key=str)
+    calls, reads = resolve.resolve_refs(refs, resolve.own_scopes(files, imports), defs, resolve.packages(files))
+    assert sorted(map(tuple, reads.collect())) == edges("read")
+    rows = calls.collect()
+    assert sorted((r["from_def"], r["to_def"]) for r in rows if r["to_def"] is not None) == edges("call")
+    assert sorted(((r["from_def"], r["unknown_name"]) for r in rows if r["to_def"] is None), key=str) == unknown
+    by_pairs = resolve.resolve_refs(refs, resolve.scopes(files, imports), defs)[0].collect()
+    assert sorted(map(str, by_pairs)) == sorted(map(str, rows))
