@@ -227,13 +227,21 @@ def selected(graph: Graph, seeds: DataFrame, always_run: list[str]) -> DataFrame
     return tests.join(walk.impacted_tests(graph, seeds).union(always).distinct(), "def_id", "left_semi")
 
 
-def explained(graph: Graph, seeds: DataFrame, always_run: list[str], query: str) -> DataFrame:
-    """(def_id, file, name, match_str, always_run_glob, path) of the selected tests whose `file :: name` holds the query; paths are resolved for these alone."""
-    tests = tests_of(graph).withColumn("match_str", F.concat(F.col("file"), F.lit(" :: "), F.array_join("name", " > ")))
+def candidates(tests: DataFrame, visited: DataFrame, always_run: list[str], query: str) -> DataFrame:
+    """(def_id, file, name, match_str, walked, always_run_glob) of the selected tests whose `file :: name` holds the query; the walk explains first."""
+    tests = tests.withColumn("match_str", F.concat(F.col("file"), F.lit(" :: "), F.array_join("name", " > ")))
     tests = tests.where(F.contains("match_str", F.lit(query))).withColumn("glob", X.first_glob(F.col("file"), always_run))
-    found = walk.paths(walk.impact(graph, seeds), tests)
-    out = tests.join(found, "def_id", "left").where("path IS NOT NULL OR glob IS NOT NULL")
-    return out.select("def_id", "file", "name", "match_str", F.when(F.col("path").isNull(), F.col("glob")).alias("always_run_glob"), F.coalesce("path", F.array().cast(found.schema["path"].dataType)).alias("path"))
+    walked = tests.join(visited.select("def_id", F.lit(True).alias("walked")), "def_id", "left").withColumn("walked", F.coalesce("walked", F.lit(False)))
+    return walked.where("walked OR glob IS NOT NULL").select("def_id", "file", "name", "match_str", "walked", F.when(~F.col("walked"), F.col("glob")).alias("always_run_glob"))
+
+
+def explained(graph: Graph, seeds: DataFrame, always_run: list[str], query: str) -> DataFrame:
+    """(def_id, file, name, match_str, always_run_glob, path) of candidates; paths are resolved for those of the walk alone."""
+    visited = walk.impact(graph, seeds)
+    tests = candidates(tests_of(graph), visited, always_run, query)
+    found = walk.paths(visited, tests.where("walked"))
+    out = tests.join(found, "def_id", "left")
+    return out.select("def_id", "file", "name", "match_str", "always_run_glob", F.coalesce("path", F.array().cast(found.schema["path"].dataType)).alias("path"))
 
 
 def select(a: Analysis) -> DataFrame:
