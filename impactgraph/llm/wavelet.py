@@ -97,16 +97,12 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """Every id in order, by undoing the stable partitions from the lowest plane up."""
         ids = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
-        place = np.arange(self.n, dtype=np.int64 if self.n >> 30 else np.int32)
         for p, zeros, bits, _ in reversed(self.planes):
             ids[zeros:] |= ids.dtype.type(1 << p)
-            bit = np.unpackbits(bits, count=self.n, bitorder="little")
-            ones = np.cumsum(bit, dtype=place.dtype)
-            at = place - ones  # where a zero comes from; a one comes from zeros + ones - 1
-            ones += ones - place + (zeros - 1)
-            ones *= bit
-            at += ones
-            ids = ids.take(at)
+            bit, above = np.unpackbits(bits, count=self.n, bitorder="little").view(bool), np.empty_like(ids)
+            above[np.flatnonzero(bit)] = ids[zeros:]
+            above[np.flatnonzero(~bit)] = ids[:zeros]
+            ids = above
         return ids.astype(np.uint32)
 
 

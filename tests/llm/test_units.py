@@ -94,6 +94,36 @@ def test_encoder_equals_whole_texts(texts):
         assert np.frombuffer(ids, "<u4").tolist() == ENCODER.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*BITS, "\u2003", "\u3000", "、", "Ω"]), max_size=12).map("".join), min_size=1, max_size=4))
+def test_cuts_equal_the_pattern(texts):
+    data, starts, stops = encoding.cut(texts)
+    pieces = [data[a:b].decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    at = 0
+    for t, stop in zip(texts, stops, strict=True):
+        assert [*pieces[at:stop], pieces[stop]] == [*encoding.PIECE.findall(t), "\n"]
+        at = stop + 1
+    assert at == len(pieces)
+
+
+def test_words_are_learned_by_the_model_alone():
+    class Spy:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.asked += texts
+            return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    enc = encoding.Encoder(encoding.default_path())
+    enc.tokenizer = spy = Spy(enc.tokenizer)
+    letters = [c for c in map(chr, range(0x250)) if encoding.WORD.fullmatch(c)]
+    texts = [*letters, " ".join(letters), "".join(letters), "Unheard wordlings; été unheard's 42 wordlings"]
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ENCODER.tokenizer.encode(t, add_special_tokens=False).ids
+    assert set(spy.asked) == {"\n", ";", "'s", " 42"}
+
+
 def brute_windows(docs, size):
     """Words covered by a window that also starts earlier; docs in order."""
     seen, out = set(), []
