@@ -124,6 +124,21 @@ def test_words_are_learned_by_the_model_alone():
     assert set(spy.asked) == {"\n", ";", "'s", " 42"}
 
 
+def test_a_run_of_texts_looks_each_piece_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    enc = encoding.Encoder(encoding.default_path())
+    enc.cache = Counted()
+    found = enc.encode(["some words, some words"] * 50)
+    assert len(found) == 50 and set(found) == {np.array(ENCODER.tokenizer.encode("some words, some words").ids, "<u4").tobytes()}
+    assert enc.cache.asked <= 5  # "some", " words", ",", " some" and the line end between texts
+
+
 def brute_windows(docs, size):
     """Words covered by a window that also starts earlier; docs in order."""
     seen, out = set(), []
